@@ -1,15 +1,296 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, and the SQL that says the same of the generated markup."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import probe as probing
+from ..operators import recipes, stats
+from ..operators.corpus import Corpus, parse_pages
+from ..operators.filter import Filter
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str, meta: bool = False) -> Corpus:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return parse_pages(pages.withColumn("page", F.col("page_id")) if meta else pages, key="url", html="html", meta=["page"] if meta else [], order="page_id")
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = _MACROS + sql
+        return f
+
+    return add
+
+
+# The text that a piece of markup stands for: references decoded, tags taken out.
+def _plain(x: str) -> str:
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return x
+
+
+_MACROS = ""
+_HREFS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
+_LINKS = "regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)"
+_LANG = """regexp_extract(html, '<html lang="([a-z]*)"', 1)"""
+
+
+@_query(f"""
+SELECT page_id AS pos, url AS key, {_plain("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS h1,
+  len({_HREFS}) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs, CAST(0 AS BIGINT) AS images_without_alt FROM pages
+""")
+def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.page_audit(corpus(spark, sf_dir))
+
+
+@_query(f"SELECT CAST(sum(len({_HREFS})) AS BIGINT) AS n FROM pages")
+def link_count(spark, sf_dir):
+    return corpus(spark, sf_dir).counted("a[href]")
+
+
+@_query(f"SELECT url AS key, unnest({_HREFS}) AS href FROM pages")
+def links_table(spark, sf_dir):
+    return corpus(spark, sf_dir).scan_table("a[href]", attrs=["href"]).select("key", "href")
+
+
+@_query(f"SELECT url AS key, {_plain('unnest(' + _LINKS + ')')} AS text, unnest({_HREFS}) AS href, page_id AS page FROM pages")
+def table_with_text_and_meta(spark, sf_dir):
+    return corpus(spark, sf_dir, meta=True).scan_table("a[href]", text=True, attrs=["href"], meta=["page"]).select("key", "text", "href", "page")
+
+
+@_query("SELECT CAST(sum(len(regexp_extract_all(html, '<h[123]>'))) AS BIGINT) AS n FROM pages")
+def heading_count(spark, sf_dir):
+    return corpus(spark, sf_dir).counted("h1, h2, h3")
+
+
+@_query(f"""SELECT url AS key, {_plain("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title FROM pages""")
+def titles(spark, sf_dir):
+    return corpus(spark, sf_dir).scan_text("head > title").select("key", F.col("values")[0].alias("title"))
+
+
+@_query("SELECT url AS key, len(regexp_extract_all(html, '<p>')) AS n FROM pages WHERE html LIKE '%<p>%'")
+def paragraphs_per_page(spark, sf_dir):
+    return corpus(spark, sf_dir).select_counts("p").select("key", "n")
+
+
+@_query(f"SELECT {_LANG} AS value, count(*) AS n, count(*) AS pages FROM pages GROUP BY 1")
+def lang_histogram(spark, sf_dir):
+    return recipes.top_attribute(corpus(spark, sf_dir), "html", "lang")
+
+
+@_query(f"""
+SELECT value, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest({_HREFS}) AS value FROM pages)
+GROUP BY value ORDER BY n DESC, value LIMIT 20
+""")
+def top_hrefs(spark, sf_dir):
+    return recipes.top_attribute(corpus(spark, sf_dir), "a[href]", "href")
+
+
+@_query("SELECT url AS key FROM pages WHERE html LIKE '%<div class=\"ad\">%'")
+def matching_class(spark, sf_dir):
+    return corpus(spark, sf_dir).matching("div.ad").select("key")
+
+
+@_query("SELECT url AS key, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href=')) AS n FROM pages WHERE html LIKE '%<nav>%<a href=%'")
+def descendant_counts(spark, sf_dir):
+    return corpus(spark, sf_dir).select_counts("nav a[href]").select("key", "n")
+
+
+@_query(f"SELECT url AS key, {_plain(_LINKS + '[1]')} AS text FROM pages WHERE len({_LINKS}) > 0")
+def first_child_link(spark, sf_dir):
+    return corpus(spark, sf_dir).scan_table("ul > li:first-child > a", text=True).select("key", "text")
+
+
+@_query(f"SELECT url AS key, {_plain(_LINKS + '[-1]')} AS text FROM pages WHERE len({_LINKS}) > 0")
+def last_child_link(spark, sf_dir):
+    return corpus(spark, sf_dir).scan_table("li:last-child a", text=True).select("key", "text")
+
+
+@_query("SELECT url AS key FROM pages WHERE regexp_matches(html, '</nav>(<!--[^>]*-->)?<div class=\"ad\">')")
+def adjacent_sibling(spark, sf_dir):
+    return corpus(spark, sf_dir).matching("nav + div.ad").select("key")
+
+
+@_query("SELECT url AS key FROM pages WHERE html LIKE '%</nav>%<article>%'")
+def general_sibling(spark, sf_dir):
+    return corpus(spark, sf_dir).matching("nav ~ article").select("key")
+
+
+@_query("SELECT url AS key FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 3")
+def has_third_item(spark, sf_dir):
+    return corpus(spark, sf_dir).matching("ul:has(> li:nth-child(3))").select("key")
+
+
+@_query("SELECT CAST(sum(greatest(len(regexp_extract_all(html, '<li>')) - 1, 0)) AS BIGINT) AS n FROM pages")
+def not_first_items(spark, sf_dir):
+    return corpus(spark, sf_dir).counted("li:not(:first-child)")
+
+
+@_query("SELECT CAST(sum((len(regexp_extract_all(html, '<li>')) + 1) // 2) AS BIGINT) AS n FROM pages")
+def odd_items(spark, sf_dir):
+    return corpus(spark, sf_dir).counted("li:nth-child(2n+1)")
+
+
+@_query("SELECT CAST(sum(len(regexp_extract_all(html, '<p>'))) + sum(len(regexp_extract_all(html, '<li>'))) AS BIGINT) AS n FROM pages")
+def list_of_complex(spark, sf_dir):
+    return corpus(spark, sf_dir).counted("article p, ul > li")
+
+
+@_query(f"SELECT url AS key, array_to_string({_HREFS}, '|') AS hrefs FROM pages WHERE len({_HREFS}) > 0")
+def attributes_listed(spark, sf_dir):
+    return corpus(spark, sf_dir).scan_attr("a", "HREF").select("key", F.array_join("values", "|").alias("hrefs"))
+
+
+@_query(f"SELECT CAST(sum(len(list_filter({_LINKS}, lambda x: lower(x) LIKE '%the%'))) AS BIGINT) AS n FROM pages")
+def text_contains(spark, sf_dir):
+    return corpus(spark, sf_dir).counted('a[text*="the" i]')
+
+
+@_query(f"SELECT url AS key FROM pages WHERE {_LANG} NOT IN ('de', 'fr')")
+def filter_css(spark, sf_dir):
+    keep = Filter(include_css="nav", exclude_css='html:is([lang="de"], [lang|="fr"])')
+    return corpus(spark, sf_dir).matching(keep).select("key")
+
+
+@_query("SELECT url AS key FROM pages WHERE page_id % 7 = 3")
+def filter_keys(spark, sf_dir):
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 7 = 3").select("url").collect()]
+    return corpus(spark, sf_dir).matching(Filter(include_keys=keys)).select("key")
+
+
+@_query("SELECT url AS key FROM pages WHERE page_id % 10 = 0")
+def snapshot_changes(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    later = pages.withColumn("html", F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html")))
+    return corpus(spark, sf_dir).diff(parse_pages(later, key="url", html="html", order="page_id")).select("key")
+
+
+@_query("SELECT url AS key, CASE WHEN page_id % 9 = 0 THEN 'removed' ELSE 'changed' END AS change FROM pages WHERE page_id % 9 = 0 OR page_id % 9 = 1")
+def title_changes(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 9 <> 0")
+    later = pages.withColumn("html", F.when(F.col("page_id") % 9 == 1, F.replace("html", F.lit("<title>"), F.lit("<title>New "))).otherwise(F.col("html")))
+    return corpus(spark, sf_dir).snapshot_diff(parse_pages(later, key="url", html="html", order="page_id")).select("key", "change")
+
+
+@_query("SELECT url AS key, page_id AS page FROM pages")
+def meta_table(spark, sf_dir):
+    return corpus(spark, sf_dir, meta=True).meta_table().select("key", "page")
+
+
+@_query("SELECT page_id AS pos, url AS key FROM pages")
+def keys(spark, sf_dir):
+    return corpus(spark, sf_dir).keys()
+
+
+@_query(f"""
+SELECT 'html[lang=''' || {_LANG} || ''']' AS path, count(*) AS n FROM pages GROUP BY 1
+UNION ALL SELECT 'html[lang=''' || {_LANG} || '''] / nav', count(*) FROM pages GROUP BY 1
+UNION ALL SELECT 'html[lang=''' || {_LANG} || '''] / nav / a', CAST(sum(len({_HREFS})) AS BIGINT) FROM pages GROUP BY 1
+""")
+def probe_paths(spark, sf_dir):
+    out = probing.probe(corpus(spark, sf_dir), ["html => CssFmt[lang]", "body > nav => CssFmt", "a[href] => CssTerse"])
+    return out.select(F.array_join("path", " / ").alias("path"), "n")
+
+
+@_query(f"""SELECT url AS key, {_plain("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS text FROM pages WHERE html LIKE '%</footer>%'""")
+def footers(spark, sf_dir):
+    return corpus(spark, sf_dir).scan_text("footer").select("key", F.col("values")[0].alias("text"))
+
+
+@_query("SELECT url AS key, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS said FROM pages")
+def comments(spark, sf_dir):
+    return corpus(spark, sf_dir).nodes.where("kind = 'comment'").select("key", F.col("text").alias("said"))
+
+
+@_query(f"""SELECT title, count(*) AS n FROM (SELECT {_plain("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title FROM pages) GROUP BY title HAVING count(*) > 1""")
+def duplicate_titles(spark, sf_dir):
+    return recipes.duplicate_titles(corpus(spark, sf_dir))
+
+
+@_query("SELECT url AS key FROM pages WHERE html NOT LIKE '%<h2>%'")
+def missing_second_heading(spark, sf_dir):
+    return recipes.missing(corpus(spark, sf_dir), "h2").select("key")
+
+
+@_query(f"SELECT CAST(sum(len({_HREFS})) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all(html, '<p>'))) AS BIGINT) AS paragraphs FROM pages")
+def totals(spark, sf_dir):
+    return recipes.totals(corpus(spark, sf_dir), {"links": "a[href]", "paragraphs": "p"})
+
+
+@_query(f"SELECT url AS key, {_plain(f'array_to_string({_LINKS}[1:3], chr(124))')} AS texts FROM pages WHERE len({_LINKS}) > 0")
+def first_items(spark, sf_dir):
+    return recipes.first_texts(corpus(spark, sf_dir), "ul li").select("key", F.array_join("values", "|").alias("texts"))
+
+
+@_query("SELECT count(*) AS pages, CAST(0 AS BIGINT) AS over_2_15, CAST(0 AS BIGINT) AS over_2_16, CAST(0 AS BIGINT) AS over_2_17 FROM pages")
+def node_coverage(spark, sf_dir):
+    return stats.coverage(stats.per_page(corpus(spark, sf_dir)))
+
+
+@_query("SELECT count(*) AS pages, CAST(0 AS BIGINT) AS with_json_ld, CAST(0 AS DOUBLE) AS share FROM pages")
+def json_ld_share(spark, sf_dir):
+    return recipes.json_ld_share(corpus(spark, sf_dir))
+
+
+@_query()
+def stats_histogram(spark, sf_dir):
+    return stats.histogram(stats.per_page(corpus(spark, sf_dir)))
+
+
+@_query()
+def stats_percentiles(spark, sf_dir):
+    return stats.percentiles(stats.per_page(corpus(spark, sf_dir)))
+
+
+@_query()
+def shared_symbols(spark, sf_dir):
+    return stats.shared_symbols(corpus(spark, sf_dir))
+
+
+@_query()
+def raw_html(spark, sf_dir):
+    return corpus(spark, sf_dir).html()
+
+
+@_query()
+def pretty_html(spark, sf_dir):
+    return corpus(spark, sf_dir).html(pretty=True)
+
+
+@_query()
+def css_paths(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return c.css_paths(c.select("li a")).select("key", "idx", "css_path")
+
+
+@_query()
+def chunks(spark, sf_dir):
+    return recipes.chunks(corpus(spark, sf_dir))
+
+
+@_query()
+def main_paragraphs(spark, sf_dir):
+    return recipes.paragraphs(corpus(spark, sf_dir))
+
+
+@_query()
+def link_domains(spark, sf_dir):
+    return recipes.link_domains(corpus(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
