@@ -10,6 +10,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,114 +30,172 @@ LONGEST = 8  # letters of a word beginning in the lexicon
 # Weight, as a factor of the insult's own, that a pattern has before any label is seen: negated and reported insults say less, aimed ones more.
 PRIOR = {"negated": 0.75, "targeted": 1.15, "reported": 0.75}
 PRIOR_DOCS = 4.0
+PRIOR_ODDS = -2.2  # log-odds of a toxic document before any evidence
+THREAT_WEIGHT = 4.0
+LEAST_WEIGHT = 3.0
+COMPANION = 0.1  # of the most frequent chosen feature's documents: as many has a feature that enters beside the chosen ones
+REPEATS = 3  # a stem may have to stand up to so many times to say something
 
 
-def features(text: str) -> set[str]:
-    """Words of a text, ended by $, and their beginnings."""
-    out = set()
-    for w in set(LETTERS.findall(text.lower())):
-        out.update(w[:k] for k in range(2, min(len(w), LONGEST) + 1))
-        out.add(w + "$")
-    return out
+def features(text: str) -> list[str]:
+    """stem*n for each word, ended by $, and word beginning of a text, for each n up to REPEATS that it stands there at least as often."""
+    count: Counter[str] = Counter()
+    for w, c in Counter(LETTERS.findall(text.lower())).items():
+        for k in range(2, min(len(w), LONGEST) + 1):
+            count[w[:k]] += c
+        count[w + "$"] += c
+    return [f"{stem}*{n}" for stem, c in count.items() for n in range(1, min(c, REPEATS) + 1)]
+
+
+def weight_of(t: int, b: int, toxic: int, benign: int) -> float:
+    return math.log((t + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (benign + 1))
 
 
-def lexicon(counts: list[tuple[str, int, int]], toxic: int, benign: int, most: int) -> dict[str, float]:
-    """Insult patterns and weights of (feature, toxic documents, other documents); at most `most` of them.
+def lexicon(counts: list[tuple[str, int, int]], toxic: list[list[int]], n_toxic: int, n_benign: int, most: int) -> dict[str, dict[int, float]]:
+    """stem -> number of times -> weight, at most `most` features; counts: (feature, toxic documents, other documents).
 
-    A pattern is kept if its excess among toxic documents is beyond chance for so many candidates, no longer pattern says the
-    same, and no kept pattern with a higher weight covers or refines it.
+    toxic: of each toxic document, the places in counts of the features it has. Features are chosen greedily, each for the toxic
+    documents that none chosen before explains; so words that only come along with an insult, in copies of one document
+    say, explain nothing. A feature enters if its excess among those documents is beyond chance for so many candidates.
     """
-    if not toxic or not counts:
+    if not counts or not n_toxic:
         return {}
-    share, bar = toxic / (toxic + benign), math.log(len(counts)) + 4
-    in_toxic = {f: t for f, t, _ in counts}
-    grown = Counter()  # of a feature: the most that a feature with one more sign has
-    for f, t in in_toxic.items():
-        grown[f[:-1]] = max(grown[f[:-1]], t)
-    found = []
-    for f, t, b in counts:
-        weight = math.log((t + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (benign + 1))
-        gain = t * math.log(max(t / ((t + b) * share), 1e-9)) + (b * math.log(b / ((t + b) * (1 - share))) if b else 0)
-        if weight >= 3 and gain >= bar and grown[f] < 0.98 * t and len(f) > 2:
-            found.append((weight, f))
-    kept: dict[str, float] = {}
-    for weight, f in sorted(found, key=lambda x: (-x[0], len(x[1]), x[1])):
-        if len(kept) < most and not any(f.startswith(k) or k.startswith(f) for k in kept):
-            kept[f] = weight
-    return kept
+    share, bar = n_toxic / (n_toxic + n_benign), math.log(len(counts)) + 4
+    owner = np.repeat(np.arange(len(toxic)), [len(x) for x in toxic])
+    feature = np.concatenate([np.asarray(x, np.int64) for x in toxic]) if toxic else np.empty(0, np.int64)
+    order = np.argsort(feature, kind="stable")
+    starts = np.searchsorted(feature[order], np.arange(len(counts) + 1))
+    left = np.bincount(feature, minlength=len(counts)).astype(np.float64)
+    b = np.array([x[2] for x in counts], np.float64)
+    heavy = np.array([weight_of(t, o, n_toxic, n_benign) >= LEAST_WEIGHT for _, t, o in counts])
+    tie = np.array([(len(f) - 2 * int(f[-1]) * LONGEST) * 1e-6 for f, _, _ in counts])  # of equal ones the least times, then the longest stem
+    open_ = np.ones(len(toxic), bool)
+    out: dict[str, dict[int, float]] = {}
+    for _ in range(most):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left * np.log(left / ((left + b) * share)) + np.where(b > 0, b * np.log(b / ((left + b) * (1 - share))), 0)
+        gain = np.where(heavy & (left > b), np.nan_to_num(gain, nan=-1), -1)
+        k = int(np.argmax(gain + tie))
+        if gain[k] < bar:
+            break
+        stem, _, n = counts[k][0].rpartition("*")
+        out.setdefault(stem, {})[int(n)] = weight_of(counts[k][1], counts[k][2], n_toxic, n_benign)
+        heavy[k] = False
+        docs = owner[order[starts[k] : starts[k + 1]]]
+        docs = docs[open_[docs]]
+        open_[docs] = False
+        gone = np.isin(owner, docs)
+        left -= np.bincount(feature[gone], minlength=len(counts))
+    # Then those that would do as well on their own: nearly as frequent as the chosen ones, and no variants of them.
+    total = np.array([x[1] for x in counts], np.float64)
+    least = COMPANION * max((t for f, t, _ in counts if int(f[-1]) in out.get(f[:-2], ())), default=math.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = total * np.log(total / ((total + b) * share)) + np.where(b > 0, b * np.log(b / ((total + b) * (1 - share))), 0)
+    weights = {k: weight_of(counts[k][1], counts[k][2], n_toxic, n_benign) for k in np.nonzero(heavy & (gain >= bar) & (total >= least))[0].tolist()}
+    taken = len([n for table in out.values() for n in table])
+    for k in sorted(weights, key=lambda k: (-round(weights[k], 1), -tie[k], counts[k][0])):
+        stem, _, n = counts[k][0].rpartition("*")
+        if taken < most and not any(stem.startswith(x.rstrip("$")) or x.startswith(stem.rstrip("$")) for x in out):
+            out[stem] = {int(n): weights[k]}
+            taken += 1
+    return out
 
 
 class Grammar:
-    """The composed transducers. matches(text) gives (pattern, weight) of each clause that says something."""
+    """The composed transducers. matches(text) gives (pattern, stem, factor) of each word that a path accepts."""
 
-    def __init__(self, insults: dict[str, float], weights: dict[str, float] | None = None, base: float = 0.05):
+    def __init__(self, insults: dict[str, dict[int, float]], weights: dict[str, float] | None = None, base: float = 0.05):
         self.insults, self.weights, self.base = insults, weights or {}, base
         own = [re.escape(f[:-1]) + r"(?![^\W\d_])" if f[-1] == "$" else re.escape(f) for f in sorted(insults)]
         own += [re.escape(w) + r"(?![^\W\d_])" for w in sorted(THREAT)]
         self._any = re.compile(r"(?<![^\W\d_])(?:" + "|".join(own) + ")")
 
-    def lexical(self, word: str) -> tuple[str, float]:
-        """First transducer: word -> symbol and weight."""
-        for k in range(min(len(word), LONGEST), 1, -1):
-            if word[:k] in self.insults:
-                return "I", self.insults[word[:k]]
+    def lexical(self, word: str) -> tuple[str, list[str]]:
+        """First transducer: word -> symbol, and the stems that it has."""
+        stems = [word[:k] for k in range(2, min(len(word), LONGEST) + 1) if word[:k] in self.insults]
         if word + "$" in self.insults:
-            return "I", self.insults[word + "$"]
+            stems.append(word + "$")
+        if stems:
+            return "I", stems
         for symbol, words in (("T", THREAT), ("N", NEGATION), ("Y", TARGET), ("R", REPORTED)):
             if word in words:
-                return symbol, 0.0
-        return ("Q", 0.0) if word in '"“”„«»' else ("O", 0.0)
+                return symbol, []
+        return ("Q", []) if word in '"“”„«»' else ("O", [])
 
-    def clause(self, words: list[str]) -> tuple[str, float] | None:
-        """Transducers in sequence over one clause; the heaviest accepted path, or None."""
+    def clause(self, words: list[str]) -> list[tuple[str, str, float]]:
+        """Transducers in sequence over one clause: (pattern, stem, factor) of every accepted word."""
         tape = [self.lexical(w) for w in words]
         target = any(s == "Y" for s, _ in tape)
-        best = None
+        out = []
         negated = reported = 0  # states: tokens for which a negation still holds; reported speech or quotes entered
         quoted = False
-        for symbol, weight in tape:
+        for symbol, stems in tape:
             negated = REACH if symbol == "N" else max(0, negated - 1)
             reported |= symbol == "R"
             quoted ^= symbol == "Q"
             if symbol == "I" or (symbol == "T" and target):
                 marks = "".join(c for c, on in (("n", negated), ("t", target), ("r", reported or quoted)) if on)
-                weight = weight or 4.0
+                factor = self.weights.get(symbol + marks, 1.0)
                 for name, c in (("negated", "n"), ("targeted", "t"), ("reported", "r")):
-                    weight *= PRIOR[name] if c in marks else 1
-                found = f"{symbol}{marks}", weight * self.weights.get(f"{symbol}{marks}", 1.0)
-                best = max(best, found, key=lambda x: x[1]) if best else found
-        return best
+                    factor *= PRIOR[name] if c in marks else 1
+                out += [(symbol + marks, s, factor) for s in stems or ["THREAT"]]
+        return out
 
-    def matches(self, text: str) -> list[tuple[str, float]]:
+    def matches(self, text: str) -> list[tuple[str, str, float]]:
         low = text.lower()
         if not self._any.search(low):
             return []
-        own = (c for c in CLAUSE.split(low) if self._any.search(c))
-        return [m for c in own if (m := self.clause(WORD.findall(c)))]
+        return [m for c in CLAUSE.split(low) if self._any.search(c) for m in self.clause(WORD.findall(c))]
+
+    def evidence(self, text: str) -> list[tuple[float, str]]:
+        """(weight, pattern) of each stem that the text's clauses have often enough, the heaviest first."""
+        found: dict[str, list[tuple[float, str]]] = {}
+        for pattern, stem, factor in self.matches(text):
+            found.setdefault(stem, []).append((factor, pattern))
+        out = []
+        for stem, own in found.items():
+            table = {1: THREAT_WEIGHT} if stem == "THREAT" else self.insults[stem]
+            weight = max((w for n, w in table.items() if n <= len(own)), default=0.0)
+            if weight:
+                out.append((weight * max(own)[0], max(own)[1]))
+        return sorted(out, reverse=True)
 
     def score(self, text: str) -> float:
-        """Base rate without a match; else the heaviest clause, and a tenth of each other, as log-odds above even chances."""
-        found = sorted((w for _, w in self.matches(text)), reverse=True)
+        """The base rate without evidence; else the heaviest, and a tenth of the rest, as log-odds on top of PRIOR_ODDS."""
+        found = [w for w, _ in self.evidence(text)]
         if not found:
             return self.base
-        x = found[0] + min(2.0, 0.1 * sum(found[1:])) - 2.5
+        x = found[0] + min(2.0, 0.1 * sum(found[1:])) + PRIOR_ODDS
         return max(self.base, 1 / (1 + math.exp(-x)))
 
 
+def told_apart(sample: DataFrame, keys: int = 4) -> DataFrame:
+    """sample(doc_id, text, toxic) with few copies of one text: of rows with an equal least hash of three-word shingles, the first, for each of several hashes."""
+    w = F.split(F.lower("text"), r"\s+")
+    rows = sample.withColumn("_w", w)
+    for i in range(keys):
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda k, i=i: F.xxhash64(F.lit(i), F.slice("_w", k, 3)))
+        keyed = rows.withColumn("_k", F.array_min(each))
+        first = keyed.groupBy("toxic", "_k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        rows = rows.join(first, "doc_id", "left_semi")
+    return rows.drop("_w")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, learns: Column, most: int) -> DataFrame:
-    """(text, toxic) of at most `most` labelled documents of each class that may be learned from, chosen by a hash of their ids."""
+    """(doc_id, text, toxic) of at most `most` labelled documents of each class that may be learned from, chosen by a hash of their ids."""
     mine = labels.where("doc_id is not null and toxic in (0, 1)").where(learns).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Top-k per class: each task hands on `most` rows at most.
     some = [mine.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for t in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # 2 * most rows of an id and a label
-    return docs.where(learns).select("doc_id", "text").join(chosen, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    return docs.where(learns).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def learned(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 5000, patterns: int = 400) -> Grammar:
     """A grammar fitted on a bounded sample: `most` documents of each class, `patterns` entries in the lexicon."""
     from ._common import dropped, written
 
-    sample = written(labelled(docs, labels, learns, most))
+    sampled = written(labelled(docs, labels, learns, most))
+    sample = written(told_apart(sampled))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, benign = totals.get(1, 0), totals.get(0, 0)
 
@@ -152,12 +211,23 @@ def learned(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 5000
 
     summed = mapped(sample, "feature string, t long, b long", make).groupBy("feature").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     # What could enter the lexicon at all, the most frequent first: a bounded number of rows for the driver.
-    able = summed.where(f"t >= 4 and (t + 0.5) * {benign + 1} >= 20 * (b + 0.5) * {toxic + 1}").orderBy(F.desc("t"), "feature").limit(50 * patterns)
-    grammar = Grammar(lexicon([tuple(r) for r in able.collect()], toxic, benign, patterns))
+    able = summed.where(f"t >= 4 and (t + 0.5) * {benign + 1} >= {math.exp(LEAST_WEIGHT)} * (b + 0.5) * {toxic + 1}").orderBy(F.desc("t"), "feature").limit(50 * patterns)
+    counts = [tuple(r) for r in able.collect()]
+    place = {f: i for i, (f, _, _) in enumerate(counts)}
+
+    def having():
+        def each(batch: pa.RecordBatch) -> dict:
+            own = [np.array([place[f] for f in features(x) if f in place], np.int32).tobytes() for x in batch.column("text").to_pylist()]
+            return {"own": pa.array(own, pa.binary())}
+
+        return each
+
+    rows = mapped(sample.where("toxic = 1"), "own binary", having).where("length(own) > 0").collect()  # of `most` documents at most
+    grammar = Grammar(lexicon(counts, [np.frombuffer(r["own"], np.int32) for r in rows], toxic, benign, patterns))
 
     def seen():
         def each(batch: pa.RecordBatch) -> dict:
-            found = [max(grammar.matches(x), key=lambda m: m[1], default=("", 0.0))[0] for x in batch.column("text").to_pylist()]
+            found = [(grammar.evidence(x) or [(0.0, "")])[0][1] for x in batch.column("text").to_pylist()]
             return {"pattern": pa.array(found, pa.string()), "toxic": batch.column("toxic")}
 
         return each
@@ -171,7 +241,7 @@ def learned(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 5000
             grammar.weights[r["pattern"]] = max(0.05, math.log(p / (1 - p) / (share / (1 - share) if 0 < share < 1 else 1)) / math.log(9)) if p < 1 else 1.0
         else:
             grammar.base = min(0.2, (r["t"] + 0.5) / (r["n"] + 1))
-    dropped(sample)
+    dropped(sampled, sample)
     return grammar
 
 
