@@ -66,66 +66,71 @@ def raw(nodes: list[Node], idx: int = 0) -> str:
 
 def pretty(nodes: list[Node], idx: int = 0) -> str:
     """The subtree with tabs by depth; runs of text and formatting elements stay on a line, layout white space is collapsed."""
-    base = nodes[idx].depth
-    out: list[str] = []
-
-    def inline(x: Node) -> bool:
-        return x.kind == "text" or (x.tag in FORMAT_INLINE and all(inline(c) for c in nodes[x.idx + 1 : x.end] if c.kind in ("element", "text")))
+    end = nodes[idx].end
+    children: dict[int, list[Node]] = {i: [] for i in range(idx, end)}
+    inline = dict.fromkeys(range(idx, end), True)
+    for x in reversed(nodes[idx:end]):  # children come before their parents
+        own = x.kind == "text" or (x.kind == "element" and x.tag in FORMAT_INLINE and inline[x.idx])
+        inline[x.idx] = own
+        if x.idx != idx:
+            children[x.parent].append(x)
+            inline[x.parent] = inline[x.parent] and (own or x.kind in ("comment", "doctype"))
+    for own in children.values():
+        own.reverse()
 
     def squeezed(x: Node) -> str:
         return x.text.strip("\n\t") if x.raw else text_escaped(re.sub(r"[\t\n ]+", " ", x.text.strip("\n\t")))
 
-    def children(x: Node) -> list[Node]:
-        own, at = [], x.idx + 1
-        while at < x.end:
-            own.append(nodes[at])
-            at = nodes[at].end
-        return own
-
     def flat(x: Node) -> str:
-        if x.kind == "text":
-            return squeezed(x)
-        return start_tag(x) + "".join(map(flat, children(x))) + ("" if x.tag in VOID else _end_tag(x))
+        out: list[str] = []
+        todo: list[Node | str] = [x]
+        while todo:
+            y = todo.pop()
+            if isinstance(y, str):
+                out.append(y)
+            elif y.kind == "text":
+                out.append(squeezed(y))
+            elif y.kind == "element":
+                out.append(start_tag(y))
+                todo += ([] if y.tag in VOID else [_end_tag(y)]) + children[y.idx][::-1]
+        return "".join(out)
 
-    def walk(x: Node) -> None:
-        indent = "\n" + "\t" * max(0, x.depth - base - (nodes[idx].kind == "root"))
+    out: list[str] = []
+    base = nodes[idx].depth + (nodes[idx].kind == "root")
+    todo: list[Node | str] = [nodes[idx]]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        indent = "\n" + "\t" * max(0, x.depth - base)
         if x.kind == "comment":
             out.append(f"{indent}<!--{x.text}-->")
         elif x.kind == "doctype":
             out.append(f"{indent}<!DOCTYPE html>")
-        elif x.kind in ("element", "root"):
-            own = children(x)
+        elif x.kind == "text":
+            out.append(indent + squeezed(x))
+        else:
+            own = children[x.idx]
+            closing = "" if x.kind == "root" or x.tag in VOID else _end_tag(x)
             if x.kind == "element":
                 out.append(indent + start_tag(x))
-            if own and all(map(inline, own)) and x.kind == "element":
-                out.append("".join(map(flat, own)).strip(" "))
-                if x.tag not in VOID:
-                    out.append(_end_tag(x))
-                return
+                if own and all(inline[c.idx] for c in own):
+                    out.append("".join(map(flat, own)).strip(" ") + closing)
+                    continue
+            then: list[Node | str] = []
             run: list[str] = []
-            deeper = indent + "\t" if x.kind == "element" else "\n"
             for c in [*own, None]:
-                if c is not None and inline(c):
+                if c is not None and inline[c.idx]:
                     run.append(flat(c))
                     continue
                 if said := "".join(run).strip(" "):
-                    out.append(deeper + said)
+                    then.append((indent + "\t" if x.kind == "element" else "\n") + said)
                 run = []
                 if c is not None:
-                    walk(c)
-            if x.kind == "element" and x.tag not in VOID:
-                out.append((indent if own else "") + _end_tag(x))
-        else:
-            out.append(indent + squeezed(x))
-
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 3 * max(x.depth for x in nodes) + 1000))
-    try:
-        walk(nodes[idx])
-    finally:
-        sys.setrecursionlimit(limit)
+                    then.append(c)
+            then.append((indent if own else "") + closing if closing else "")
+            todo += then[::-1]
     return "".join(out).lstrip("\n")
 
 
