@@ -46,7 +46,7 @@ def byte_bpe(path: str):
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of every document; ids are little-endian bytes and can be pruned."""
+    """(doc_id, piece, start, length, ids_crc32) of every document; the checksum is of the ids as little-endian unsigned 32-bit integers."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def make():
@@ -146,20 +146,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, bucket_rows: int = 100_000) -> DataFrame:
     """docs(doc_id long, text) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row a piece.
 
     A document is its ids and then end_id; longer ones than `capacity` are cut into pieces of that length, the first of which
     may be shorter. Every row of docs gives pieces, repeated rows and null doc_ids too; a null text is empty, one piece of
     end_id alone. Other columns are ignored; an empty table gives no rows. The tokenizer's path must be readable on executors.
     """
-    pieces = written(pieces_of(docs, tokenizer, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))))
+    pieces = written(pieces_of(docs, tokenizer, capacity, end_id))
+    buckets = 1 + pieces.count() // bucket_rows
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
     sums = written(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     by_bucket = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("length", "bucket", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("before"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
-    ranked = pieces.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(before), ["length", "bucket"])  # capacity * buckets rows at most
+    ranked = pieces.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "bucket"])  # dealt by the window's keys already
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
 
     rows = sorted(plan(counts, capacity))
@@ -170,3 +172,28 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     placed = ranked.join(F.broadcast(table), hit)  # a few rows for each length
     sequence = F.col("p_sequence") + F.col("rank") - F.col("p_rank")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), F.col("p_offset").alias("offset"))
+
+
+def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """docs and the rows that pack() gave for them -> (sequence_id, ids array<long>): the packed sequences themselves.
+
+    Texts are tokenized again, so that packing itself never holds or moves ids. doc_ids must be distinct.
+    """
+    own = placed.select("doc_id", F.struct("start", "length", "sequence_id", "offset").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("places"))
+    joined = docs.select("doc_id", "text").join(own, "doc_id")
+
+    def make():
+        encode = byte_bpe(tokenizer)
+
+        def each(batch: pa.RecordBatch) -> dict:
+            rows = []
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                ids = [*encode(text or "").tolist(), end_id]
+                rows += [(p["sequence_id"], p["offset"], ids[p["start"] : p["start"] + p["length"]]) for p in places]
+            return {"sequence_id": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.int64()), "ids": pa.array([r[2] for r in rows], pa.list_(pa.int64()))}
+
+        return each
+
+    parts = mapped(joined, "sequence_id long, at long, ids array<long>", make)
+    every = F.sort_array(F.collect_list(F.struct("at", "ids")))
+    return parts.groupBy("sequence_id").agg(F.flatten(F.transform(every, lambda x: x["ids"])).alias("ids"))
