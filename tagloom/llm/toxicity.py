@@ -169,13 +169,16 @@ class Grammar:
         return max(self.base, 1 / (1 + math.exp(-x)))
 
 
+def _shingle_hash(seed: int):
+    return lambda k: F.xxhash64(F.lit(seed), F.slice("_w", k, 3))
+
+
 def told_apart(sample: DataFrame, keys: int = 4) -> DataFrame:
     """sample(doc_id, text, toxic) with few copies of one text: of rows with an equal least hash of three-word shingles, the first, for each of several hashes."""
     w = F.split(F.lower("text"), r"\s+")
     rows = sample.withColumn("_w", w)
     for i in range(keys):
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda k, i=i: F.xxhash64(F.lit(i), F.slice("_w", k, 3)))
-        keyed = rows.withColumn("_k", F.array_min(each))
+        keyed = rows.withColumn("_k", F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), _shingle_hash(i))))
         first = keyed.groupBy("toxic", "_k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
         rows = rows.join(first, "doc_id", "left_semi")
     return rows.drop("_w")
