@@ -70,9 +70,14 @@ def _guess(raw: bytes, url: str | None) -> str:
             return hint
         except UnicodeDecodeError:
             pass
+    if sum(c > 127 for c in raw) < 6:  # too few to tell anything from
+        return "cp1252"
     try:
         from charset_normalizer import from_bytes
     except ImportError:
         return "cp1252"
     best = from_bytes(raw[:65536], cp_exclusion=["utf_8"]).best()
-    return best.encoding if best and _encoding(best.encoding.encode()) else "cp1252"
+    plain = bytes(range(32, 127))
+    if best and _encoding(best.encoding.encode()) and plain.decode(best.encoding, "replace") == plain.decode("ascii"):
+        return best.encoding
+    return "cp1252"

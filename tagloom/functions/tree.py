@@ -180,6 +180,7 @@ def build(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max
             raise CapacityError(f"more than {max_nodes} nodes")
         node = Node(len(nodes), kind, tag, open_[-1], len(open_), **more)
         nodes.append(node)
+        node.end = len(nodes)
         return node
 
     def flush() -> None:
@@ -187,7 +188,7 @@ def build(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max
             said = "".join(texts)
             texts.clear()
             if said:
-                add("text", None, text=said, raw=nodes[open_[-1]].tag in RAW).end = len(nodes)
+                add("text", None, text=said, raw=nodes[open_[-1]].tag in RAW)
 
     def pop() -> None:
         i = open_.pop()
@@ -223,9 +224,7 @@ def build(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max
             node = add("element", tag, attrs=attrs, classes=classes)
             nodes[node.parent].children.append(node.idx)
             mode = None
-            if tag in VOID or (closing and (foreign or tag in FOREIGN)):
-                node.end = len(nodes)
-            else:
+            if tag not in VOID and not (closing and (foreign or tag in FOREIGN)):
                 if len(open_) > max_depth:
                     raise CapacityError(f"nesting deeper than {max_depth}")
                 open_.append(node.idx)
@@ -245,9 +244,9 @@ def build(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max
                     pop()
             answer = None, bool(foreign)
         elif kind == "comment":
-            add("comment", None, text=token[1]).end = len(nodes)
+            add("comment", None, text=token[1])
         else:
-            add("doctype", "!doctype", attrs=[("html", "")]).end = len(nodes)
+            add("doctype", "!doctype", attrs=[("html", "")])
     flush()
     for i in open_:
         nodes[i].end = len(nodes)

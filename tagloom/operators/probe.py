@@ -44,7 +44,7 @@ class Expression:
             if name == "class":
                 own = F.coalesce("classes", F.array().cast("array<string>"))
                 if op:
-                    own = F.filter(own, lambda c, op=op, want=want: _compare(c, op, want, False))
+                    own = F.filter(own, _class_test(op, want))
                 classes.append(F.array_join(own, " ") if html else F.array_join(F.transform(own, lambda c: F.concat(F.lit("."), c)), ""))
                 if not html:
                     others.append(classes[-1])
@@ -66,6 +66,10 @@ class Expression:
         return F.concat(F.col("tag"), *others)
 
 
+def _class_test(op: str, want: str):
+    return lambda c: _compare(c, op, want, False)
+
+
 def matches(corpus: Corpus, expressions: Iterable[Expression | str], keep: Filter | None = None) -> DataFrame:
     """(pos, key, idx, end_idx, label, words) of labelled elements."""
     own = [e if isinstance(e, Expression) else Expression(e) for e in expressions]

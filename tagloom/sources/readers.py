@@ -14,7 +14,7 @@ from ..operators.corpus import Corpus, parse_pages
 
 def _decoded(files: DataFrame, columns: list[str]) -> DataFrame:
     """content binary (and content_type, url where there) -> html, in Arrow batches."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in columns), "html string"])
+    schema = ", ".join([*(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in columns), "html string"])
 
     def run(batches):
         for b in batches:

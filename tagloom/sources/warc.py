@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import zlib
@@ -15,6 +14,32 @@ MAX_BODY = 256 * 2**20
 SCHEMA = "key string, content binary, content_type string, url string, fetched string, status long, file string, ordinal long"
 
 
+class Members(io.RawIOBase):
+    """What the gzip members of a stream hold, one after the other, up to the first broken place."""
+
+    def __init__(self, raw: BinaryIO):
+        self.raw, self.open, self.input, self.output = raw, zlib.decompressobj(31), b"", b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.output:
+            if self.open.eof:
+                self.input, self.open = self.open.unused_data, zlib.decompressobj(31)
+            self.input = self.input or self.raw.read(2**16)
+            if not self.input:
+                return 0
+            try:
+                self.output = self.open.decompress(self.input, 2**20)
+            except zlib.error:
+                return 0
+            self.input = self.open.unconsumed_tail
+        n = min(len(into), len(self.output))
+        into[:n], self.output = self.output[:n], self.output[n:]
+        return n
+
+
 def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-cased name, block) of a WARC stream; a broken tail ends it."""
     try:
@@ -112,7 +137,7 @@ class WarcReader(DataSourceReader):
             return
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
         with store.open_input_stream(partition.value, compression=None) as raw:
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if partition.value.endswith(".gz") else io.BufferedReader(raw)
+            stream = io.BufferedReader(Members(raw)) if partition.value.endswith(".gz") else io.BufferedReader(raw)
             for ordinal, (headers, block) in enumerate(records(stream)):
                 r = response(headers, block)
                 if r:
