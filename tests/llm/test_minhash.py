@@ -103,3 +103,12 @@ def test_components_of_long_paths(spark):
     got = {r["node"]: r["component"] for r in collected(graph.components(spark.createDataFrame(links, "a long, b long")))}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 105: 105, 200: 105, 203: 105}
     assert collected(graph.components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_rows_among_ids(spark, monkeypatch):
+    ids = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65535, 65536, 100000, -1, -5, -32768, -40000, 2**40, 2**40 + 3]
+    docs = documents(spark, [(i, "") for i in {*range(-50, 120000, 7), *ids, *(i + 1 for i in ids)}] + [(None, "")])
+    own = spark.createDataFrame([(i,) for i in ids * 2], "doc_id long")
+    for most in (4096, 0):
+        monkeypatch.setattr(minhash, "BITMAPS", most)
+        assert sorted(r["doc_id"] for r in collected(minhash.among(docs, own))) == sorted(ids)
