@@ -18,7 +18,7 @@ from ..plans.compile import attribute_value, has_attribute, select
 from ..plans.selector import Selector
 from .document import Document
 from .filter import Filter
-from .ingest import first_by_key, parse_rows
+from .ingest import NODES, first_by_key, first_of_each, parse_rows
 
 Sel = Selector | str
 SYSTEM = ["pos", "key", "checksum", "n_nodes", "parse_error"]
@@ -78,6 +78,13 @@ class Corpus:
         """Kept in memory and on disk from the first use on."""
         return Corpus(self.docs.persist(), self.nodes.persist())
 
+    def changed(self, change) -> Corpus:
+        """Every page after change(tree), a mutate.Tree; pages are rebuilt one by one on the workers. Pages that couldn't be parsed stay as they are."""
+        nodes = changed_rows(self.nodes, change)
+        extra = [c for c in self.docs.columns if c not in SYSTEM]
+        docs = docs_of(nodes)
+        return Corpus(docs.join(self.docs.select("pos", *extra), "pos") if extra else docs, nodes)
+
     # -- footer questions: docs alone
 
     def keys(self) -> DataFrame:
@@ -280,6 +287,23 @@ class Corpus:
         return own.limit(first) if first is not None else own
 
 
+def changed_rows(nodes: DataFrame, change) -> DataFrame:
+    def run(table):
+        import pyarrow as pa
+
+        from .ingest import as_batch
+        from .mutate import Tree
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["idx"])
+        if rows[0]["parse_error"] is not None:
+            return table
+        tree = Tree(linked([as_node(r) for r in rows]))
+        change(tree)
+        return pa.Table.from_batches([as_batch([(rows[0]["pos"], rows[0]["key"], tree.rebuilt(), None)])])
+
+    return nodes.groupBy("pos").applyInArrow(run, NODES)
+
+
 def label():
     """tag#id.class.class of a node."""
     return F.concat(F.col("tag"), F.coalesce(F.concat(F.lit("#"), F.col("id")), F.lit("")), F.coalesce(F.array_join(F.transform("classes", lambda c: F.concat(F.lit("."), c)), ""), F.lit("")))
@@ -320,7 +344,7 @@ def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: It
         own = rows.withColumn("pos", F.col("_order") + base).drop("_order")
         own = own if unique else first_by_key(own)
     else:
-        own = first_by_key(rows.withColumn("_h", F.xxhash64("html")), "_h").drop("_h")
+        own = first_of_each(rows.withColumn("_h", F.xxhash64("html")), "_h").drop("_h")
         own = _numbered(own, "key", base)
     nodes = parse_rows(own, **limits)
     docs = docs_of(nodes)
@@ -329,14 +353,19 @@ def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: It
     return Corpus(docs, nodes)
 
 
-def _numbered(rows: DataFrame, by: str, base: int) -> DataFrame:
-    """pos = rank by a column of distinct values, without a window over all rows: ranks within hashed ranges, and a small table of their starts."""
-    part = F.substring(F.col(by), 1, 3)
-    keyed = rows.withColumn("_part", part)
-    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
+def _numbered(rows: DataFrame, by: str, base: int, parts: int = 256) -> DataFrame:
+    """pos = rank by a column of distinct values, without a window over all rows.
+
+    Up to `parts` - 1 values, picked by a hash, cut the rows into ranges; ranks within those add to a table of their starts.
+    """
+    cuts = sorted(r[0] for r in rows.select(by).orderBy(F.xxhash64(by), by).limit(parts - 1).collect())
+    own = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(by))) if cuts else F.lit(0)
+    keyed = rows.withColumn("_part", own)
+    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))  # `parts` rows at most, so one task may order them
     starts = sizes.withColumn("_from", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    return keyed.withColumn("_rank", rank).join(starts.select("_part", "_from"), "_part").withColumn("pos", F.col("_from") + F.col("_rank") - 1 + base).drop("_part", "_rank", "_from")
+    placed = keyed.withColumn("_rank", rank).join(F.broadcast(starts.select("_part", "_from")), "_part")
+    return placed.withColumn("pos", F.col("_from") + F.col("_rank") - 1 + base).drop("_part", "_rank", "_from")
 
 
 # -- versions on any file system Spark reads

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tree import MAX_DEPTH, MAX_NODES, CapacityError, build, checksum, is_standard
+from ..functions.tree import MAX_DEPTH, MAX_NODES, CapacityError, Node, build, checksum, is_standard
 
 NODES = (
     "pos long, key string, idx int, end_idx int, parent int, prev_el int, next_el int, depth int, kind string, tag string, is_std boolean, id string, "
@@ -23,6 +24,36 @@ _TYPES = {
 _COLUMNS = [c.split()[0] for c in NODES.replace("struct<name:string,value:string>", "struct").split(", ")]
 
 
+def as_batch(pages: list[tuple[int, str, list[Node], str | None]]) -> pa.RecordBatch:
+    """(pos, key, nodes, parse_error) of pages as rows of the nodes table."""
+    flat = [x for _, _, nodes, _ in pages for x in nodes]
+    sizes = [len(nodes) for _, _, nodes, _ in pages]
+    of = np.repeat(np.arange(len(pages)), sizes)
+
+    def by_page(values: list, kind: pa.DataType) -> pa.Array:
+        return pa.array(values, kind).take(pa.array(of))
+
+    def at_root(values: list) -> list:
+        out: list = [None] * len(flat)
+        for start, v in zip(np.cumsum([0, *sizes[:-1]]).tolist() if sizes else [], values, strict=True):
+            out[start] = v
+        return out
+
+    columns = {
+        "pos": by_page([p for p, _, _, _ in pages], pa.int64()),
+        "key": by_page([k for _, k, _, _ in pages], pa.string()),
+        "end_idx": [x.end for x in flat],
+        "is_std": [is_standard(x.tag) if x.kind == "element" else None for x in flat],
+        "id": [x.id if x.attrs else None for x in flat],
+        "attrs": [None if x.attrs is None else [{"name": n, "value": v} for n, v in x.attrs] for x in flat],
+        "n_child_el": [len(x.children) for x in flat],
+        "checksum": at_root([None if error else checksum(nodes) for _, _, nodes, error in pages]),
+        "parse_error": at_root([error for _, _, _, error in pages]),
+    }
+    arrays = [columns[c] if c in columns else [getattr(x, c) for x in flat] for c in _COLUMNS]
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, _TYPES.get(c, pa.int32())) for a, c in zip(arrays, _COLUMNS, strict=True)], names=_COLUMNS)
+
+
 def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, strict_end: bool = False, chunk: int = 20_000) -> DataFrame:
     """pages(pos long, key string, html string) -> the nodes table.
 
@@ -31,46 +62,44 @@ def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MA
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[str, list] = {c: [] for c in _COLUMNS}
-
-        def put(**values) -> None:
-            for c in _COLUMNS:
-                rows[c].append(values.get(c))
-
-        def done() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(rows[c], _TYPES.get(c, pa.int32())) for c in _COLUMNS], names=_COLUMNS)
-            for v in rows.values():
-                v.clear()
-            return out
-
+        parsed, size = [], 0
         for batch in batches:
             for pos, key, source in zip(*(batch.column(c) for c in ("pos", "key", "html")), strict=True):
                 pos, key, source = pos.as_py(), key.as_py(), source.as_py()
                 try:
                     if source is None:
                         raise ValueError("no html")
-                    nodes = build(source, strict_end, max_nodes, max_depth)
+                    nodes, error = build(source, strict_end, max_nodes, max_depth), None
                 except (CapacityError, ValueError) as e:
-                    put(pos=pos, key=key, idx=0, end_idx=1, depth=0, kind="root", tag="[document]", n_child_el=0, parse_error=str(e))
-                    continue
-                own = checksum(nodes)
-                for x in nodes:
-                    element = x.kind == "element"
-                    put(
-                        pos=pos, key=key, idx=x.idx, end_idx=x.end, parent=x.parent, prev_el=x.prev_el, next_el=x.next_el, depth=x.depth, kind=x.kind, tag=x.tag,
-                        is_std=is_standard(x.tag) if element else None, id=x.id, classes=x.classes,
-                        attrs=[{"name": n, "value": v} for n, v in x.attrs] if x.attrs is not None else None,
-                        sib_ord=x.sib_ord, sib_rev=x.sib_rev, type_ord=x.type_ord, type_rev=x.type_rev, n_child_el=len(x.children), text=x.text,
-                        raw=x.raw, checksum=own if x.idx == 0 else None,
-                    )
-                if len(rows["pos"]) >= chunk:
-                    yield done()
-        yield done()
+                    nodes, error = [Node(0, "root", "[document]", None, 0, end=1)], str(e)
+                parsed.append((pos, key, nodes, error))
+                size += len(nodes)
+                if size >= chunk:
+                    yield as_batch(parsed)
+                    parsed, size = [], 0
+        yield as_batch(parsed)
 
     return pages.select("pos", "key", "html").mapInArrow(run, NODES)
 
 
+REPEATS = 1_000_000  # rows with a repeated key: as many ids as a broadcast may hold
+
+
 def first_by_key(pages: DataFrame, order: str = "pos") -> DataFrame:
-    """Of rows with one key, the first; before the parse, so that repeated pages cost nothing. Null keys are dropped."""
+    """Of rows with one key, the first by a column of distinct values; before the parse, so that repeats cost nothing. Null keys are dropped.
+
+    Keys alone are dealt out to find the repeats. While those are few, their ids are broadcast and the bodies stay where they
+    are; beyond REPEATS the bodies are dealt by key.
+    """
+    pages = pages.where("key is not null")
+    ids = pages.select("key", order)
+    firsts = ids.groupBy("key").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    late = ids.join(firsts, "key").where(F.col(order) > F.col("_first")).select(order)
+    if late.limit(REPEATS + 1).count() <= REPEATS:
+        return pages.join(F.broadcast(late), order, "left_anti")
+    return first_of_each(pages, order)
+
+
+def first_of_each(pages: DataFrame, order: str) -> DataFrame:
     own = Window.partitionBy("key").orderBy(order)
     return pages.where("key is not null").withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")

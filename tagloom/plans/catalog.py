@@ -242,6 +242,22 @@ def json_ld_share(spark, sf_dir):
     return recipes.json_ld_share(corpus(spark, sf_dir))
 
 
+def _lifted(tree) -> None:
+    """Head cleaned, navigation and advertisements gone, the article in the body's own place."""
+    for css in ("script, style", "nav, footer, div.ad"):
+        for x in tree.select(css):
+            tree.remove(x)
+    for x in tree.select("article"):
+        tree.unwrap(x)
+
+
+@_query("SELECT url AS key, CAST(0 AS BIGINT) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs, CAST(1 AS BIGINT) AS top_headings FROM pages")
+def lifted_articles(spark, sf_dir):
+    c = corpus(spark, sf_dir).changed(_lifted)
+    counts = c.nodes.where("kind = 'element'").groupBy("key").agg(F.count_if(F.col("tag") == "a").alias("links"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+    return counts.join(c.select_counts("body > h1").select("key", F.col("n").alias("top_headings")), "key")
+
+
 @_query()
 def stats_histogram(spark, sf_dir):
     return stats.histogram(stats.per_page(corpus(spark, sf_dir)))
