@@ -51,17 +51,12 @@ def _lines(rows: DataFrame, column: str = "key"):
 
 
 def _pages(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    kind = a.format or ("warc" if a.input.endswith((".warc", ".warc.gz")) else None)
-    if kind == "warc":
-        return readers.warc(spark, a.input, getattr(a, "list", None), getattr(a, "limit", None))
-    pages = readers.source(spark, a.input, kind)
-    if getattr(a, "list", None):
-        pages = pages.join(readers.normalized(spark.read.text(a.list).toDF("key")).where("key <> ''").distinct(), "key", "left_semi")
-    return pages.orderBy("key").limit(a.limit) if getattr(a, "limit", None) else pages
+    return readers.source(spark, a.input, a.format, getattr(a, "list", None), getattr(a, "limit", None))
 
 
 def _converted(pages: DataFrame) -> Corpus:
-    return parse_pages(pages, meta=[c for c in ("fetched", "status") if c in pages.columns])
+    ordered = "at" in pages.columns  # numbered by the source, repeats gone
+    return parse_pages(pages, meta=[c for c in ("fetched", "status") if c in pages.columns], order="at" if ordered else None, unique=ordered)
 
 
 def main(words: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -38,10 +38,13 @@ class Corpus:
         return Corpus(spark.read.parquet(f"{at}/docs"), spark.read.parquet(f"{at}/nodes"))
 
     def write(self, path: str) -> Corpus:
-        """Written by ranges of pos and sorted by (pos, idx), so that later work on a page stays in few files; replaced in one step."""
+        """Stored where it is made, sorted by (pos, idx) in each task: nodes are computed once and not dealt out. Replaced in one step.
+
+        Pages that come in order of pos so make files of their own ranges of pos, and a lookup skips the others.
+        """
         spark = self.docs.sparkSession
         at = f"{path}/v-{uuid.uuid4().hex}"
-        nodes = self.nodes.repartitionByRange("pos").sortWithinPartitions("pos", "idx")
+        nodes = self.nodes.sortWithinPartitions("pos", "idx")
         nodes.write.option("compression", "zstd").parquet(f"{at}/nodes")
         stored = spark.read.parquet(f"{at}/nodes")
         meta = [c for c in self.docs.columns if c not in SYSTEM]

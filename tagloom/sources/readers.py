@@ -1,4 +1,4 @@
-"""Pages from folders, single files, web-crawl archives and written corpora."""
+"""Pages from folders, single files, web-crawl and offline-reader archives, and written corpora."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.charset import decode_html
 from ..operators.corpus import Corpus, parse_pages
+from ..operators.ingest import first_by_key, first_of_each
 
 
 def _decoded(files: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,23 +43,42 @@ def folder(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
     return _decoded(files.select(own.alias("key"), "content"), ["key"])
 
 
+def _listed(spark: SparkSession, rows: DataFrame, keys: Iterable[str] | str | None) -> DataFrame:
+    """Rows whose key is in an iterable, or in a file with a key a line."""
+    if keys is None:
+        return rows
+    if isinstance(keys, str):
+        return rows.join(normalized(spark.read.text(keys).toDF("key")).where("key <> ''").distinct(), "key", "left_semi")
+    own = normalized(spark.createDataFrame([(k,) for k in keys], "key string")).where("key <> ''").distinct()
+    return rows.join(own, "key", "left_semi")
+
+
 def warc(spark: SparkSession, path: str, keys: Iterable[str] | str | None = None, limit: int | None = None) -> DataFrame:
-    """(key, html, fetched, status, file, ordinal) of HTML responses; of repeated addresses the first by (file, ordinal).
+    """(key, html, fetched, status, file, ordinal, at) of HTML responses; of repeated addresses the first in source order.
 
-    keys: only these, as an iterable or the path of a file with a key a line. limit: the first so many in source order.
+    at numbers them by file, then record: distinct, and the archive order of what is made of them. keys: only these, as an iterable
+    or the path of a file with a key a line. limit: the first so many in source order. Repeats are found by keys alone, so bodies
+    aren't dealt out unless very many are late.
     """
     from .warc import WarcSource
 
     spark.dataSource.register(WarcSource)
-    rows = spark.read.format("tagloom_warc").load(path)
-    if keys is not None:
-        listed = spark.read.text(keys).toDF("key") if isinstance(keys, str) else spark.createDataFrame([(k,) for k in keys], "key string")
-        rows = rows.join(F.broadcast(normalized(listed).where("key <> ''").distinct()) if not isinstance(keys, str) else normalized(listed).where("key <> ''").distinct(), "key", "left_semi")
-    first = rows.groupBy("key").agg(F.min(F.struct("file", "ordinal")).alias("f")).select("key", "f.file", "f.ordinal")
-    rows = rows.join(first, ["key", "file", "ordinal"], "left_semi")
+    rows = first_by_key(_listed(spark, spark.read.format("tagloom_warc").load(path), keys), "at")
     if limit is not None:
-        rows = rows.orderBy("file", "ordinal").limit(limit)
-    return _decoded(rows, ["key", "fetched", "status", "file", "ordinal"])
+        rows = rows.orderBy("at").limit(limit)
+    return _decoded(rows, ["key", "fetched", "status", "file", "ordinal", "at"])
+
+
+def zim(spark: SparkSession, path: str, keys: Iterable[str] | str | None = None, limit: int | None = None) -> DataFrame:
+    """(key, html, file, at) of the HTML articles of ZIM files, keyed by title, or path where that is empty, in NFC; as warc().
+
+    An article whose cluster can't be unpacked or that isn't UTF-8 has null html, and so a parse error in a corpus.
+    """
+    from .zim import ZimSource, with_bodies
+
+    spark.dataSource.register(ZimSource)
+    entries = first_of_each(_listed(spark, spark.read.format("tagloom_zim").load(path), keys), "at")
+    return with_bodies(entries.orderBy("at").limit(limit) if limit is not None else entries, path)
 
 
 def normalized(keys: DataFrame) -> DataFrame:
@@ -71,12 +91,17 @@ def normalized(keys: DataFrame) -> DataFrame:
     return keys.select("key").mapInArrow(run, "key string")
 
 
-def source(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def kind_of(path: str) -> str:
+    return "warc" if path.endswith((".warc", ".warc.gz")) else "zim" if path.endswith(".zim") else "dir"
+
+
+def source(spark: SparkSession, path: str, kind: str | None = None, keys: Iterable[str] | str | None = None, limit: int | None = None) -> DataFrame:
     """(key, html, ...) of a source, by kind (dir, warc, zim) or by its name."""
-    kind = kind or ("warc" if path.endswith((".warc", ".warc.gz")) else "zim" if path.endswith(".zim") else "dir")
-    if kind == "zim":
-        raise NotImplementedError("ZIM files need a decoder that isn't installed; convert them to WARC or to a folder")
-    return warc(spark, path) if kind == "warc" else folder(spark, path, "relpath")
+    kind = kind or kind_of(path)
+    if kind != "dir":
+        return {"warc": warc, "zim": zim}[kind](spark, path, keys, limit)
+    pages = _listed(spark, folder(spark, path, "relpath"), keys)
+    return pages.orderBy("key").limit(limit) if limit is not None else pages
 
 
 def tally(accepted: DataFrame, seen: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from typing import BinaryIO
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_BODY = 256 * 2**20
-SCHEMA = "key string, content binary, content_type string, url string, fetched string, status long, file string, ordinal long"
+SCHEMA = "key string, content binary, content_type string, url string, fetched string, status long, file string, ordinal long, at long"
 
 
 class Members(io.RawIOBase):
@@ -128,17 +128,18 @@ class WarcReader(DataSourceReader):
         info = store.get_file_info(at)
         files = [info] if info.is_file else store.get_file_info(fs.FileSelector(at, recursive=True))
         names = sorted(f.path for f in files if f.is_file and f.path.endswith((".warc", ".warc.gz")))
-        return [InputPartition(n) for n in names] or [InputPartition(None)]
+        return [InputPartition(x) for x in enumerate(names)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
         if partition.value is None:
             return
+        k, name = partition.value
         store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
-        with store.open_input_stream(partition.value, compression=None) as raw:
-            stream = io.BufferedReader(Members(raw)) if partition.value.endswith(".gz") else io.BufferedReader(raw)
+        with store.open_input_stream(name, compression=None) as raw:
+            stream = io.BufferedReader(Members(raw)) if name.endswith(".gz") else io.BufferedReader(raw)
             for ordinal, (headers, block) in enumerate(records(stream)):
                 r = response(headers, block)
                 if r:
-                    yield (r["key"], r["content"], r["content_type"], r["url"], r["fetched"], r["status"], partition.value, ordinal)
+                    yield (r["key"], r["content"], r["content_type"], r["url"], r["fetched"], r["status"], name, ordinal, (k << 40) + ordinal)

@@ -175,8 +175,6 @@ def test_sources_sinks_cli_and_stream(spark, tmp_path, capsys):
     got = readers.warc(spark, str(warc)).orderBy("ordinal").collect()
     assert [(r["key"], r["html"], r["status"], r["fetched"]) for r in got] == [("http://e/1", "<p>é", 200, "2020-01-02T03:04:05Z"), ("http://e/3", "<p>café", 200, "2020-01-02T03:04:05Z")]
     assert [r["key"] for r in readers.warc(spark, str(warc), keys=["http://e/3", "no"]).collect()] == ["http://e/3"] and readers.warc(spark, str(warc), limit=1).count() == 1
-    with pytest.raises(NotImplementedError):
-        readers.source(spark, "x.zim")
     out = str(tmp_path / "packed")
     assert cli.main(["pack", str(folder), "-o", out], spark) == 0 and cli.main(["list", out, "-i", "css:h1", "--to-folder", str(tmp_path / "files")], spark) == 0
     assert capsys.readouterr().out == "a\nFound 1 word(s):\n" and (tmp_path / "files" / "a.html").read_text() == "<h1>a</h1>"
