@@ -6,7 +6,8 @@ docs(pos, key, checksum, n_nodes, parse_error, metadata...) and nodes (operators
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,6 +97,8 @@ class Corpus:
     def count(self) -> int:
         return self.docs.count()
 
+    __len__ = count
+
     def __contains__(self, key: str) -> bool:
         return not self.docs.where(F.col("key") == key).isEmpty()
 
@@ -109,6 +112,8 @@ class Corpus:
         return out or None
 
     def meta_table(self) -> DataFrame:
+        if self.meta_schema() is None:
+            raise ValueError("no metadata")
         return self.docs.select("pos", "key", *(self.meta_schema() or ())).orderBy("pos")
 
     def lookup(self, key: str | None = None, pos: int | None = None) -> DataFrame:
@@ -128,6 +133,22 @@ class Corpus:
         meta = {k: row[k] for k in self.meta_schema() or ()}
         return Document(linked([as_node(r) for r in rows]), row["key"], meta or None)
 
+    get = doc
+
+    def __getitem__(self, at: int | str) -> Document:
+        found = self.doc(key=at) if isinstance(at, str) else self.doc(pos=at)
+        if found is None:
+            raise (KeyError if isinstance(at, str) else IndexError)(at)
+        return found
+
+    def __iter__(self) -> Iterator[Document]:
+        """Every page in order, a task's pages at a time on the driver: for small corpora; questions of large ones are DataFrames."""
+        names = list(self.meta_schema() or ())
+        rows = self.nodes.join(self.docs.select("pos", *(F.col(m).alias(f"_m_{m}") for m in names)), "pos") if names else self.nodes
+        for _, own in groupby(rows.orderBy("pos", "idx").toLocalIterator(), key=lambda r: r["pos"]):
+            own = list(own)
+            yield Document(linked([as_node(r) for r in own]), own[0]["key"], {m: own[0][f"_m_{m}"] for m in names} or None)
+
     # -- selection
 
     def select(self, selector: Sel, within: DataFrame | None = None) -> DataFrame:
@@ -254,7 +275,7 @@ class Corpus:
     def scan_table(self, selector: Sel, text: bool = False, attrs: Iterable[str] | None = None, meta: Iterable[str] | None = None) -> DataFrame:
         """A row a match: pos, idx, key, text if asked for, attributes, metadata; ordered by page and place."""
         attrs, meta = list(attrs or ()), list(meta or ())
-        names = ["key", *(["text"] if text else []), *attrs, *meta]
+        names = ["pos", "idx", "key", *(["text"] if text else []), *attrs, *meta]
         low = [n.lower() for n in names]
         if len(set(low)) < len(low):
             raise ValueError(f"column names collide: {names}")

@@ -84,25 +84,30 @@ def matches(corpus: Corpus, expressions: Iterable[Expression | str], keep: Filte
 
 
 def probe(corpus: Corpus, expressions: Iterable[Expression | str], keep: Filter | None = None) -> DataFrame:
-    """(path array<string>, n, keys): elements by the labels from the outermost matched element down; keys only where @words asks for them.
+    """(path array<string>, n, keys, first): elements by the labels from the outermost matched element down.
 
-    Counts are sums by path, so neither the order of pages nor their division matters.
+    keys: of the pages, in archive order, only where @words asks for them; first: place of the first element. Counts are sums by path, so neither the
+    order of pages nor their division matters.
     """
     own = matches(corpus, expressions, keep)
     a = own.select(F.col("pos").alias("a_pos"), F.col("idx").alias("a_idx"), F.col("end_idx").alias("a_end"), F.col("label").alias("a_label"))
     around = (F.col("pos") == F.col("a_pos")) & (F.col("a_idx") <= F.col("idx")) & (F.col("idx") < F.col("a_end"))
     paths = own.join(a, around).groupBy("pos", "key", "idx", "words").agg(F.sort_array(F.collect_list(F.struct("a_idx", "a_label"))).alias("up"))
     path = F.transform("up", lambda x: x["a_label"]).alias("path")
-    return paths.select("key", "words", path).groupBy("path").agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.when(F.col("words"), F.col("key")))).alias("keys"))
+    pages = F.sort_array(F.collect_set(F.when(F.col("words"), F.struct("pos", "key"))))
+    return paths.select("pos", "key", "idx", "words", path).groupBy("path").agg(F.count("*").alias("n"), F.transform(pages, lambda x: x["key"]).alias("keys"), F.min(F.struct("pos", "idx")).alias("first"))
 
 
-_SUPER = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+_DIGITS = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+_LETTERS = dict(zip("0123456789abcdef", "ᵃᵇᶜᵈᵉᶠᵍʰⁱʲᵏˡᵐⁿᵒᵖ", strict=True))
 
 
 def rendered(rows: DataFrame) -> str:
-    """The counts of probe() as an indented tree; paths are few, whatever the corpus."""
+    """The counts of probe() as an indented tree in order of first appearance: depth as a raised letter, label, raised count, [keys]; paths are few, whatever the corpus."""
+    found = {tuple(r["path"]): r for r in rows.collect()}
     out = []
-    for r in sorted(rows.collect(), key=lambda r: r["path"]):
-        depth = len(r["path"]) - 1
-        out.append("  " * depth + r["path"][-1] + str(r["n"]).translate(_SUPER) + (f" {', '.join(r['keys'])}" if r["keys"] else ""))
+    for path in sorted(found, key=lambda p: [tuple(found[p[:k]]["first"]) for k in range(1, len(p) + 1)]):
+        depth, r = len(path) - 1, found[path]
+        letter = "".join(_LETTERS[c] for c in f"{depth:x}")
+        out.append("  " * depth + letter + path[-1] + str(r["n"]).translate(_DIGITS) + (f"[{','.join(r['keys'])}]" if r["keys"] else ""))
     return "\n".join(out)

@@ -3,6 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+import tagloom
 from tagloom.operators import probe, recipes, stats
 from tagloom.operators.builder import CorpusBuilder
 from tagloom.operators.corpus import Corpus, parse_pages
@@ -47,6 +48,14 @@ def test_scans(scan):
 def test_keys_and_single_pages(scan):
     assert scan.count() == 20 and "page-03" in scan and "x" not in scan and rows_of(scan.keys())[-1] == (19, "page-19")
     assert scan.doc("page-03").select_text("a") == ["go", "no"] and scan.doc(pos=-1).key == "page-19" and scan.doc("x") is None
+    assert scan["page-03"].key == scan[3].key == "page-03" and scan.get("x") is None and len(scan) == 20
+    with pytest.raises(KeyError):
+        scan["x"]
+    with pytest.raises(IndexError):
+        scan[20]
+    assert [(d.key, d.select_count("h1")) for d in scan][:2] == [("page-00", 1), ("page-01", 0)]
+    with pytest.raises(ValueError):
+        scan.meta_table()
     assert scan.doc(pos=0).to_html() == parse('<h1 class=t>Doc 0</h1><a href="/l0">go</a><a>no</a>').to_html() and scan.meta_schema() is None
 
 
@@ -100,6 +109,16 @@ def test_write_open_append_with_metadata(spark, tmp_path):
     assert rows_of(skipped.keys())[-1][1] == "y"
     with pytest.raises(ValueError):
         CorpusBuilder(spark, path, meta_schema={"key": str})
+    with tagloom.append(spark, path, on_error="skip") as b:
+        b.add("a", "<p>late")
+        b.add("new", "<p>n", meta={"ok": False})
+        b.add("deep", "<b>" * 9000)
+    c = tagloom.open(spark, path)
+    assert b.skipped == ["deep"] and c["new"].meta["ok"] is False and c["a"].text == "1" and [d.key for d in c][-1] == "new"
+    with pytest.raises(TypeError):
+        tagloom.append(spark, path).add_document("x", c["a"])
+    with pytest.raises(ValueError):
+        tagloom.append(spark, path).write(str(tmp_path / "elsewhere"))
 
 
 def test_failures_duplicates_and_diff(spark):
@@ -117,10 +136,12 @@ def test_probe(spark):
     c = parse_pages(pages(spark, rows), order="at").persist()
     got = {tuple(r["path"]): (r["n"], r["keys"]) for r in probe.probe(c, ["section => HtmlFmt[class^=s]@words", "section > div > h1 => CssFmt[id][text]", "h1 => CssTerse[text='A']", "a => CssTerse[href]"]).collect()}
     assert got == {
-        ("<section class='s'>",): (2, ["bar", "foo"]), ("<section class='s'>", "h1#i[text='A']"): (1, []), ("<section class='s'>", "a['/1']"): (1, []),
+        ("<section class='s'>",): (2, ["foo", "bar"]), ("<section class='s'>", "h1#i[text='A']"): (1, []), ("<section class='s'>", "a['/1']"): (1, []),
         ("<section class='s'>", "h1"): (1, []), ("<section class='s'>", "h1['A']"): (1, []),
     }
-    assert probe.rendered(probe.probe(c, ["section => CssFmt", "h1 => CssFmt"])) == "section²\n  h1³"
+    assert probe.rendered(probe.probe(c, ["section => CssFmt", "h1 => CssFmt"])) == "ᵃsection²\n  ᵇh1³"
+    shown = probe.rendered(probe.probe(c, ["section => CssFmt@words", "section > div, section > a => CssFmt", "h1 => CssFmt[id]"]))
+    assert shown == "ᵃsection²[foo,bar]\n  ᵇdiv¹\n    ᶜh1#i¹\n  ᵇa¹\n  ᵇh1²"
     for bad in ("section", "p => Nope", "p => CssFmt[", "p => CssFmt@x"):
         with pytest.raises(ValueError):
             probe.Expression(bad)
@@ -179,7 +200,7 @@ def test_sources_sinks_cli_and_stream(spark, tmp_path, capsys):
     assert cli.main(["pack", str(folder), "-o", out], spark) == 0 and cli.main(["list", out, "-i", "css:h1", "--to-folder", str(tmp_path / "files")], spark) == 0
     assert capsys.readouterr().out == "a\nFound 1 word(s):\n" and (tmp_path / "files" / "a.html").read_text() == "<h1>a</h1>"
     assert cli.main(["convert", str(warc), str(tmp_path / "w")], spark) == 0 and "Converted: 2" in capsys.readouterr().out
-    assert cli.main(["probe", str(tmp_path / "w"), "-p", "p => CssFmt[text]"], spark) == 0 and "p[text='café']¹" in capsys.readouterr().out
+    assert cli.main(["probe", str(tmp_path / "w"), "-p", "p => CssFmt[text]"], spark) == 0 and "ᵃp[text='café']¹" in capsys.readouterr().out
     assert cli.main(["extract", str(warc), "http://e/3"], spark) == 0 and capsys.readouterr().out == "<p>café\n" and cli.main(["extract", str(warc), "no"], spark) == 1
     (folder / "a.htm").write_text("<h1>changed</h1>")
     capsys.readouterr()
