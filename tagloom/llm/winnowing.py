@@ -5,11 +5,12 @@ Any passage of `gram + window - 1` code points that two texts share gives both a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM, WINDOW = 12, 48
@@ -83,33 +84,41 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, positions array<long>, hashes array<long>, fingerprint string")
 
 
-CELLS = 4096
+SAMPLE = 32  # ids that decide where a part ends
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+
+
+def _beyond(cuts: list[int], x: Column) -> Column:
+    """How many of some descending numbers are greater than x: first by every so many of them, then inside that stretch."""
+    step = max(1, math.isqrt(len(cuts)))
+    heads = F.size(F.filter(_longs(cuts[::step]), lambda c: c > x))
+    stretch = F.slice(_longs(cuts), (F.greatest(heads, F.lit(1)) - 1) * step + 1, F.lit(step))
+    return F.when(heads == 0, 0).otherwise((heads - 1) * step + F.size(F.filter(stretch, lambda c: c > x)))
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """docs(doc_id long, text) in descending doc_id, each part followed by the first row of the next: columns part, halo, doc_id, text.
 
-    Ids fall into CELLS cells of equal width; runs of cells make parts of about equal numbers of rows. What the driver holds
-    is a row for each cell. Only the first row of each part travels twice. Null doc_ids come last.
+    Parts are ranges of doc_id of about equal numbers of rows, cut by a sample of SAMPLE ids a part, chosen by a hash; so it
+    doesn't matter how ids are spread, and the driver holds no more than that sample. Only the first row of each part travels
+    twice. Null doc_ids come last.
     """
-    ids = docs.select(F.col("doc_id").cast("double").alias("d"), "doc_id")
-    low, high, n = ids.agg(F.min("d"), F.max("d"), F.count("*")).first()
-    low, width = low or 0.0, max(((high or 0.0) - (low or 0.0)) / CELLS, 1.0)
-    cell = F.when(F.col("doc_id").isNull(), CELLS).otherwise(
-        CELLS - 1 - F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id").cast("double") - low) / width))
-    )  # 0 is the first in descending order
-    first, part, held, part_of = {}, 0, 0, [0] * (CELLS + 1)
-    for r in sorted(ids.select(cell.alias("c"), "doc_id").groupBy("c").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()):
-        if held and held + r["n"] > max(1, n // parts):
-            part, held = part + 1, 0
-        held += r["n"]
-        part_of[r["c"]] = part
-        first.setdefault(part, r["m"])
-    before = [(p - 1) % (part + 1) for p in range(part + 1)]
-    own = F.element_at(F.lit(part_of), (cell + 1).cast("int"))
-    leads = F.col("doc_id").eqNullSafe(F.element_at(F.lit([first.get(p) for p in range(part + 1)]).cast("array<long>"), F.col("part") + 1))
+    ids = docs.select("doc_id")
+    n = ids.count()
+    sample = ids.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < SAMPLE * parts)
+    cuts = sorted({r["doc_id"] for r in sample.distinct().collect()}, reverse=True)[SAMPLE::SAMPLE] if parts > 1 else []
+    own = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_beyond(cuts, F.col("doc_id"))).cast("int")
+    first = {r["part"]: r["m"] for r in ids.groupBy(own.alias("part")).agg(F.max("doc_id").alias("m")).collect()}  # a row a part
+    there = sorted(first)
+    before = dict(zip(there, [there[-1:], *([p] for p in there)], strict=False))
+    none = len(cuts) + 1  # the part of null ids, whose rows all lead
+    leads = F.when(F.col("part") == none, True).otherwise(F.col("doc_id") == F.element_at(_longs([first.get(p) or 0 for p in range(none)]), F.col("part") + 1))
     places = F.array(F.struct(F.col("part"), F.lit(False).alias("halo")))
-    halo = F.array(F.struct(F.element_at(F.lit(before), F.col("part") + 1).alias("part"), F.lit(True).alias("halo")))
+    halo = F.array(F.struct(F.element_at(_longs([before.get(p, [0])[0] for p in range(none + 1)]), F.col("part") + 1).cast("int").alias("part"), F.lit(True).alias("halo")))
     rows = docs.select("doc_id", "text").withColumn("part", own).select("doc_id", "text", F.inline(F.when(leads, F.concat(places, halo)).otherwise(places)))
     return rows.repartition("part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
@@ -119,7 +128,7 @@ def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 
     A document's edited text has its last floor(n_chars / 3) code points replaced by the first as many, or all, of the next
     document's, in descending doc_id; after the last comes the first. Rows that share a doc_id follow each other by a hash of
-    their text. Null text: as "". Null doc_ids come last. A table of one row: it is its own next. No rows: no rows. Other
+    their text. Null text: as "". Null doc_ids come last, in one part. A table of one row: it is its own next. No rows: no rows. Other
     columns are ignored.
     """
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

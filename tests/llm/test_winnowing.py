@@ -3,9 +3,10 @@ import hashlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tagloom.llm import queries
-from tagloom.llm.winnowing import as_string, edited_pairs, fingerprints, likeness, winnow
+from tagloom.llm.winnowing import _beyond, as_string, edited_pairs, fingerprints, likeness, winnow, with_next
 
 from .util import collected, documents, odd_rows
 
@@ -78,6 +79,21 @@ def test_sparse_ids_and_edges(spark):
     assert [(r["edited"], r["near_next"]) for r in alone] == [("abcdab", 1.0)]
 
 
+def test_parts_are_even_however_ids_are_spread(spark):
+    rows = [(i, "x") for i in range(3000)] + [(2**62 + i, "y") for i in range(300)] + [(-(2**62), "z"), (None, "n")]
+    got = with_next(documents(spark, rows, extra=False), 10)
+    sizes = {r["part"]: r["count"] for r in got.where("not halo").groupBy("part").count().collect()}
+    assert sum(sizes.values()) == len(rows) and len(sizes) >= 9 and max(sizes.values()) < 3 * len(rows) / 10
+    assert got.where("halo").count() == len(sizes) and got.where("not halo and text = 'y'").select("part").distinct().count() <= 3
+
+
+def test_place_among_cuts(spark):
+    cuts = [90, 70, 50, 30, 10, -5, -(2**63)]
+    frame = spark.createDataFrame([(x,) for x in (2**63 - 1, 90, 89, 70, 31, 30, 0, -5, -6, -(2**63))], "x long")
+    for some in (cuts, cuts[:1], []):
+        assert [r["k"] for r in frame.select("x", _beyond(some, F.col("x")).alias("k")).collect()] == [sum(c > r["x"] for c in some) for r in frame.collect()]
+
+
 def test_fingerprints_keep_positions(spark):
     rows = collected(fingerprints(documents(spark, [(1, "x" * 5 + "hello world, hello moon"), (2, None)])))
     assert rows[1]["positions"] == [] and rows[1]["fingerprint"] == ""
