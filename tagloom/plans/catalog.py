@@ -268,7 +268,10 @@ def stats_percentiles(spark, sf_dir):
     return stats.percentiles(stats.per_page(corpus(spark, sf_dir)))
 
 
-@_query()
+@_query("""
+SELECT page_id // 1000 AS bundle, CAST(1 AS INTEGER) AS rank, 'ad' AS symbol, count(*) AS pages, (count(*) - 1) * 2 AS gain, CAST((count(*) - 1) * 2 AS BIGINT) AS covered
+FROM pages WHERE html LIKE '%<div class="ad">%' GROUP BY 1
+""")
 def shared_symbols(spark, sf_dir):
     return stats.shared_symbols(corpus(spark, sf_dir))
 
@@ -283,10 +286,19 @@ def pretty_html(spark, sf_dir):
     return corpus(spark, sf_dir).html(pretty=True)
 
 
-@_query()
+@_query("SELECT true AS same, count(*) AS n FROM pages")
+def round_trip(spark, sf_dir):
+    """Whether the markup that is written for a page has the page's own tree."""
+    c = corpus(spark, sf_dir)
+    again = parse_pages(c.html(), order="pos", unique=True)
+    both = c.docs.join(again.docs.select("pos", F.col("checksum").alias("again")), "pos")
+    return both.groupBy((F.col("checksum") == F.col("again")).alias("same")).agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT url AS key, 'html > body > nav > ul > li > a' AS css_path, CAST(len({_HREFS}) AS BIGINT) AS n FROM pages WHERE len({_HREFS}) > 0")
 def css_paths(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    return c.css_paths(c.select("li a")).select("key", "idx", "css_path")
+    return c.css_paths(c.select("li a")).groupBy("key", "css_path").agg(F.count("*").alias("n"))
 
 
 @_query()
@@ -299,9 +311,28 @@ def main_paragraphs(spark, sf_dir):
     return recipes.paragraphs(corpus(spark, sf_dir))
 
 
-@_query()
+def _pages_with(spark, sf_dir, html) -> Corpus:
+    return parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", html), key="url", html="html", order="page_id", unique=True)
+
+
+@_query(f"""
+SELECT 's' || page_id % 5 || '.example' AS host, CAST(sum(len({_HREFS})) AS BIGINT) AS links, count(*) FILTER (len({_HREFS}) > 0) AS pages FROM pages GROUP BY 1 HAVING sum(len({_HREFS})) > 0
+""")
 def link_domains(spark, sf_dir):
-    return recipes.link_domains(corpus(spark, sf_dir))
+    """Hosts that pages link to, after their links are made absolute: the generated ones are all local."""
+    host = F.concat(F.lit('<a href="https://user@S'), F.col("page_id") % 5, F.lit(".example:80/"))
+    return recipes.link_domains(_pages_with(spark, sf_dir, F.replace("html", F.lit('<a href="/'), host)))
+
+
+@_query("""
+SELECT 'T' || page_id % 4 AS type, count(*) AS n, count(*) AS pages FROM pages WHERE page_id % 4 > 0 GROUP BY 1
+UNION ALL SELECT 'Page', count(*), count(*) FROM pages WHERE page_id % 4 > 0
+""")
+def json_ld_types(spark, sf_dir):
+    """Types of JSON-LD blocks, after some pages get one: the generated ones have none. Every fourth is no JSON."""
+    kind = F.col("page_id") % 4
+    said = F.when(kind == 0, "{nope").otherwise(F.concat(F.lit('{"@graph": [{"@type": ["T'), kind, F.lit('", "Page"]}]}')))
+    return recipes.json_ld_types(_pages_with(spark, sf_dir, F.concat("html", F.lit('<script type="application/ld+json">'), said, F.lit("</script>"))))
 
 
 def queries() -> dict[str, Query]:
