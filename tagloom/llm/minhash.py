@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     sig = written(signatures(docs, k, bands, rows))
     known = sig.where("doc_id is not null and digest is not null")
-    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
     # One row of each set: its copies never reach the bands.
     first = known.select(F.col("doc_id").alias("rep"), "keys").join(reps.select("rep"), "rep", "left_semi")
@@ -262,10 +262,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         more = written(units.groupBy("key", "i", "j").applyInArrow(solve, "a long, b long"))
         found = components(links.union(more))
 
-    joined = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    joined = written(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")))
     dropped(members, pairs, sets, placed, unsolved)
-    out = sig.select("doc_id", "n_shingles", "digest").join(joined, "digest", "left")
-    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
+    # Sets with so many copies that they would weigh on a task are few, and their rows stay where they are; rows without a set are spread by id.
+    bar = 1 + sig.count() // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    common = joined.where(F.col("copies") > bar).select("digest", F.col("component").alias("common"))
+    out = sig.select("doc_id", "n_shingles", "digest").join(F.broadcast(common), "digest", "left")  # fewer rows than 4 * partitions
+    apart = F.when(F.col("common").isNull(), F.col("digest"))
+    out = out.withColumn("digest", F.coalesce(apart, F.col("doc_id").cast("string"))).join(joined.where(F.col("copies") <= bar).drop("copies"), "digest", "left")
+    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("common", "component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
