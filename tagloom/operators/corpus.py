@@ -6,9 +6,10 @@ docs(pos, key, checksum, n_nodes, parse_error, metadata...) and nodes (operators
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from itertools import groupby
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,60 +28,76 @@ META_TYPES = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), boo
 
 
 class Corpus:
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
+    """docs and nodes; dealt(n), where it is known, gives nodes in n parts by hash of pos without moving nodes, meta the metadata by pos."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, dealt: Callable[[int], DataFrame] | None = None, meta: DataFrame | None = None):
+        self.docs, self.nodes, self._dealt, self._meta = docs, nodes, dealt, meta
 
     # -- sources and sinks
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Corpus:
-        """A written corpus: the version that its pointer names. Nothing but file lists is read now."""
-        at = _current(spark, path)
-        return Corpus(spark.read.parquet(f"{at}/docs"), spark.read.parquet(f"{at}/nodes"))
+        """A written corpus: the segments that its pointer names. Nothing but file lists is read now.
+
+        nodes are bucketed by pos: joins and groupings by page, which all selectors and texts come down to, don't shuffle.
+        """
+        path = _qualified(spark, path)
+        buckets, segments = _current(spark, path)
+        return Corpus(spark.read.parquet(*(f"{path}/docs/{s}" for s in segments)), _bucketed(spark, path, buckets, segments))
 
-    def write(self, path: str) -> Corpus:
-        """Stored where it is made, sorted by (pos, idx) in each task: nodes are computed once and not dealt out. Replaced in one step.
+    def write(self, path: str, buckets: int | None = None) -> Corpus:
+        """Stored in so many buckets by pos (the session's shuffle partitions), replacing what is there in one step.
 
-        Pages that come in order of pos so make files of their own ranges of pos, and a lookup skips the others.
+        Pages are dealt out before they are parsed, so that is the one time they move.
         """
         spark = self.docs.sparkSession
-        at = f"{path}/v-{uuid.uuid4().hex}"
-        nodes = self.nodes.sortWithinPartitions("pos", "idx")
-        nodes.write.option("compression", "zstd").parquet(f"{at}/nodes")
-        stored = spark.read.parquet(f"{at}/nodes")
-        meta = [c for c in self.docs.columns if c not in SYSTEM]
-        docs = docs_of(stored)
-        if meta:
-            docs = docs.join(self.docs.select("pos", *meta), "pos", "left")
-        docs.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(f"{at}/docs")
-        _point(spark, path, at)
+        path = _qualified(spark, path)
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        nodes = self._dealt(buckets) if self._dealt else self.nodes.repartition(buckets, "pos")
+        _point(spark, path, buckets, [self._stored(path, nodes, buckets)])
         return Corpus.open(spark, path)
 
+    def _stored(self, path: str, nodes: DataFrame, buckets: int, like: DataFrame | None = None) -> str:
+        """Write nodes and their docs as a new segment, which nothing points to yet; like: docs whose columns the segment's must have."""
+        spark, segment = self.docs.sparkSession, uuid.uuid4().hex
+        at = f"{path}/nodes/segment={segment}"
+        nodes.write.format("parquet").bucketBy(buckets, "pos").sortBy("pos", "idx").option("compression", "zstd").option("path", at).saveAsTable(f"tagloom_{segment}")
+        spark.sql(f"DROP TABLE tagloom_{segment}")  # the catalog's entry; the files stay
+        docs = docs_of(spark.read.schema(NODES).parquet(at))
+        meta = self._meta if self._meta is not None else self.docs.drop(*(c for c in SYSTEM if c != "pos"))
+        if len(meta.columns) > 1:
+            docs = docs.join(meta, "pos", "left")
+        if like is not None:
+            docs = like.limit(0).unionByName(docs, allowMissingColumns=True)
+        docs.repartitionByRange("key").sortWithinPartitions("key").write.option("compression", "zstd").parquet(f"{path}/docs/{segment}")
+        return segment
+
     def append(self, path: str, pages: DataFrame, key: str = "key", html: str = "html", meta: Iterable[str] = (), order: str | None = None, on_error: str = "raise") -> Corpus:
         """This corpus, stored at path, with pages added after its own; keys that it has are skipped, of new ones the first counts.
 
-        on_error: "raise" stops at a page that can't be parsed, "skip" leaves it out. A crash leaves the old version readable.
+        on_error: "raise" stops at a page that can't be parsed, "skip" leaves it out. Only the new pages are written; a crash leaves the
+        old version readable.
         """
-        spark = self.docs.sparkSession
+        spark, path = self.docs.sparkSession, _qualified(self.docs.sparkSession, path)
+        buckets, segments = _current(spark, path)
         base = self.docs.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
         fresh = pages.join(self.docs.select(F.col("key").alias(key)), key, "left_anti")
         more = parse_pages(fresh, key, html, meta, order=order, base=base)
-        more = Corpus(more.docs, more.nodes.cache())
-        more.docs = docs_of(more.nodes).join(more.docs.drop("checksum", "n_nodes", "parse_error", "key"), "pos")
+        nodes = more._dealt(buckets)
+        segment = more._stored(path, nodes if on_error == "raise" else nodes.where("parse_error is null"), buckets, like=self.docs)  # a page that failed is one row
         if on_error == "raise":
-            bad = more.docs.where("parse_error is not null").select("key", "parse_error").first()
+            bad = spark.read.parquet(f"{path}/docs/{segment}").where("parse_error is not null").select("key", "parse_error").first()
             if bad:
+                for name in (f"nodes/segment={segment}", f"docs/{segment}"):
+                    fs, at = _fs(spark, f"{path}/{name}")
+                    fs.delete(at, True)
                 raise ValueError(f"{bad['key']}: {bad['parse_error']}")
-        good = more.docs.where("parse_error is null").select("pos")
-        both = Corpus(
-            self.docs.unionByName(more.docs.where("parse_error is null"), allowMissingColumns=True),
-            self.nodes.unionByName(more.nodes.join(good, "pos", "left_semi")),
-        )
-        return both.write(path)
+        _point(spark, path, buckets, [*segments, segment])
+        return Corpus.open(spark, path)
 
     def persist(self) -> Corpus:
         """Kept in memory and on disk from the first use on."""
-        return Corpus(self.docs.persist(), self.nodes.persist())
+        return Corpus(self.docs.persist(), self.nodes.persist(), self._dealt, self._meta)
 
     def changed(self, change) -> Corpus:
         """Every page after change(tree), a mutate.Tree; pages are rebuilt one by one on the workers. Pages that couldn't be parsed stay as they are."""
@@ -160,13 +177,15 @@ class Corpus:
         return found
 
     def texts(self, rows: DataFrame, column: str = "text_content") -> DataFrame:
-        """rows with the text of each: all text nodes inside, those in script and style only if the row is one; "" if there are none."""
+        """Distinct rows with the text of each: all text nodes inside, those in script and style only if the row is one; "" if there are none."""
         t = self.nodes.where("kind = 'text'").select(F.col("pos").alias("t_pos"), F.col("idx").alias("t_idx"), F.col("text").alias("t_text"), F.col("raw").alias("t_raw"))
-        own = rows.select("pos", "idx", "end_idx", F.coalesce(F.col("tag").isin("script", "style"), F.lit(False)).alias("r_raw"))
+        own = rows.withColumn("r_raw", F.coalesce(F.col("tag").isin("script", "style"), F.lit(False)))
         inside = (F.col("pos") == F.col("t_pos")) & (F.col("t_idx") > F.col("idx")) & (F.col("t_idx") < F.col("end_idx")) & (F.col("r_raw") | ~F.col("t_raw"))
-        said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t_idx", "t_text"))), lambda x: x["t_text"]), "")
-        got = own.join(t, inside).groupBy("pos", "idx").agg(said.alias(column))
-        return rows.join(got, ["pos", "idx"], "left").withColumn(column, F.coalesce(column, F.lit("")))
+        pieces = F.collect_list(F.when(F.col("t_idx").isNotNull(), F.struct("t_idx", "t_text")))
+        said = F.array_join(F.transform(F.sort_array(pieces), lambda x: x["t_text"]), "")
+        # The other columns travel through the aggregate, so that there is no second join to bring them back.
+        rest = [F.first(c).alias(c) for c in rows.columns if c not in ("pos", "idx")]
+        return own.join(t, inside, "left").groupBy("pos", "idx").agg(*rest, said.alias(column)).select(*rows.columns, column)
 
     def own_texts(self, rows: DataFrame, column: str = "own_text") -> DataFrame:
         """rows with the text directly in each; null if there is none."""
@@ -371,10 +390,8 @@ def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: It
         own = first_of_each(rows.withColumn("_h", F.xxhash64("html")), "_h").drop("_h")
         own = _numbered(own, "key", base)
     nodes = parse_rows(own, **limits)
-    docs = docs_of(nodes)
-    if meta:
-        docs = docs.join(own.select("pos", *meta), "pos")
-    return Corpus(docs, nodes)
+    docs, extra = docs_of(nodes), own.select("pos", *meta)
+    return Corpus(docs.join(extra, "pos") if meta else docs, nodes, lambda n: parse_rows(own.repartition(n, "pos"), **limits), extra)
 
 
 def _numbered(rows: DataFrame, by: str, base: int, parts: int = 256) -> DataFrame:
@@ -400,15 +417,33 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
-def _current(spark: SparkSession, path: str) -> str:
-    return f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}"
+def _qualified(spark: SparkSession, path: str) -> str:
+    fs, at = _fs(spark, path)
+    return fs.makeQualified(at).toString()
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number of buckets and segments of the current version."""
+    buckets, *segments = spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0].split()
+    return int(buckets), segments
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int, segments: list[str]) -> DataFrame:
+    """The nodes of some segments as a catalog table, named by what it holds: only those have their buckets made use of."""
+    name = f"tagloom_{xxhash.xxh3_128_hexdigest(repr((path, buckets, segments)))}"
+    if not spark.catalog.tableExists(name):
+        place = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({NODES}, segment string) USING parquet PARTITIONED BY (segment) CLUSTERED BY (pos) SORTED BY (pos, idx) INTO {buckets} BUCKETS LOCATION '{place}/nodes'")
+        for s in segments:
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (segment = '{s}') LOCATION '{place}/nodes/segment={s}'")
+    return spark.table(name).drop("segment")
 
 
-def _point(spark: SparkSession, path: str, at: str) -> None:
-    """Name a version as the current one: a file written aside, then one rename."""
+def _point(spark: SparkSession, path: str, buckets: int, segments: list[str]) -> None:
+    """Name what the current version holds: a file written aside, then one rename."""
     fs, temp = _fs(spark, f"{path}/CURRENT-{uuid.uuid4().hex}")
     out = fs.create(temp)
-    out.write(bytearray(at.rsplit("/", 1)[1].encode()))
+    out.write(bytearray("\n".join([str(buckets), *segments]).encode()))
     out.close()
     to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsparkSession.sessionState().newHadoopConf())

@@ -13,6 +13,7 @@ def session(name: str = "tagloom", cores: int | str = "*", partitions: int | Non
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",  # buckets by page serve joins by page and place too
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",

@@ -121,6 +121,26 @@ def test_write_open_append_with_metadata(spark, tmp_path):
         tagloom.append(spark, path).write(str(tmp_path / "elsewhere"))
 
 
+def test_stored_pages_stay_together(spark, tmp_path):
+    """Nodes are bucketed by page: texts and combinators need no exchange, and an append adds files and changes none."""
+    path = str(tmp_path / "it's")
+    c = parse_pages(pages(spark, [(i, f"k{i}", f"<ul><li>{i}<li>x</ul>" if i % 2 else "<p>no") for i in range(12)]), order="at").write(path, buckets=3)
+    own = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (c.texts(c.select("li")), c.select("ul li"), c.select("ul > li + li"), c.markup(c.select("li"))):
+            assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+            assert rows.count() in (6, 12)
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "it's").rglob("*.parquet")}
+    after = c.append(path, spark.createDataFrame([("k1", "<li>late"), ("new", "<ul><li>n</ul>")], "key string, html string"))
+    assert before.items() <= {p: p.stat().st_mtime_ns for p in (tmp_path / "it's").rglob("*.parquet")}.items()
+    assert c.count() == 12 and after.count() == 13 and after.scan_count("li") == 13 and after["new"].text == "n" and Corpus.open(spark, path)[1].text == "1x"
+    assert after.changed(lambda t: t.remove(t.select("li")[0]) if t.select("li") else None).write(path).scan_count("li") == 6
+
+
 def test_failures_duplicates_and_diff(spark):
     rows = [(0, "a", "<p>1"), (1, "b", "<b>" * 30), (2, "a", "<p>other"), (3, "c", None), (4, "d", "x"), (5, None, "y")]
     c = parse_pages(pages(spark, rows), order="at", max_depth=20)
