@@ -8,6 +8,7 @@ import re
 _BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 _LABEL = re.compile(rb"charset\s*=\s*(?:\"([^\"]*)|'([^']*)|([^;\"'\s>]*))", re.I)
 _META = re.compile(rb"<!--.*?-->|<meta(?=[\s/>])([^>]*)>", re.I | re.S)
+# Labels that mean another encoding on the web, and likely encodings by country domain.
 _ALIASES = {"iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "x-user-defined": "cp1252", "iso-8859-9": "cp1254", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "ks_c_5601-1987": "cp949", "euc-kr": "cp949", "x-sjis": "cp932", "tis-620": "cp874", "iso-8859-11": "cp874"}
 _BY_DOMAIN = {"ru": "cp1251", "ua": "cp1251", "bg": "cp1251", "jp": "cp932", "cn": "gb18030", "tw": "big5", "kr": "cp949", "pl": "cp1250", "cz": "cp1250", "hu": "cp1250", "gr": "cp1253", "tr": "cp1254", "il": "cp1255", "th": "cp874"}
 

@@ -1,5 +1,7 @@
 """Tables of HTML names."""
 
+# Fixed values, all tables here: vocabularies and pairs of names that results depend on.
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SLASHED = frozenset("hr br img input".split())
 RAW = frozenset(("script", "style"))

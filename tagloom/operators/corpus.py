@@ -95,6 +95,21 @@ class Corpus:
         _point(spark, path, buckets, [*segments, segment])
         return Corpus.open(spark, path)
 
+    @staticmethod
+    def vacuum(spark: SparkSession, path: str) -> int:
+        """Delete the segments that the current version doesn't name, and say how many; nobody may be at work on another version."""
+        path = _qualified(spark, path)
+        _, segments = _current(spark, path)
+        own = {f"segment={s}" for s in segments} | set(segments)
+        gone = 0
+        for part in ("nodes", "docs"):
+            fs, at = _fs(spark, f"{path}/{part}")
+            for status in fs.listStatus(at):
+                if status.getPath().getName() not in own:
+                    fs.delete(status.getPath(), True)
+                    gone += part == "docs"
+        return gone
+
     def persist(self) -> Corpus:
         """Kept in memory and on disk from the first use on."""
         return Corpus(self.docs.persist(), self.nodes.persist(), self._dealt, self._meta)

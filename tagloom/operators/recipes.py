@@ -39,8 +39,9 @@ def json_ld_types(corpus: Corpus) -> DataFrame:
 
 def json_ld_share(corpus: Corpus) -> DataFrame:
     """One row: pages, pages with a JSON-LD block, and their share."""
-    having = select(corpus.nodes, 'script[type="application/ld+json"]').agg(F.count_distinct("pos").alias("with_json_ld"))
-    return corpus.docs.agg(F.count("*").alias("pages")).crossJoin(having).withColumn("share", F.col("with_json_ld") / F.col("pages"))  # one row each
+    having = select(corpus.nodes, 'script[type="application/ld+json"]').select("pos").distinct().select(F.lit(0).alias("page"), F.lit(1).alias("has"))
+    n = corpus.docs.select(F.lit(1).alias("page"), F.lit(0).alias("has")).union(having).agg(F.coalesce(F.sum("page"), F.lit(0)).alias("pages"), F.coalesce(F.sum("has"), F.lit(0)).alias("with_json_ld"))
+    return n.withColumn("share", F.col("with_json_ld") / F.nullif(F.col("pages"), F.lit(0)))
 
 
 def totals(corpus: Corpus, selectors: dict[str, str]) -> DataFrame:

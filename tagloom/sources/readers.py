@@ -106,8 +106,9 @@ def source(spark: SparkSession, path: str, kind: str | None = None, keys: Iterab
 
 def tally(accepted: DataFrame, seen: DataFrame) -> DataFrame:
     """One row: pages seen, prepared, and collapsed into an earlier one with the same key."""
-    counts = seen.agg(F.count("*").alias("seen"), F.count_distinct("key").alias("distinct_keys"))
-    return accepted.agg(F.count("*").alias("prepared")).crossJoin(counts).withColumn("collapsed", F.col("seen") - F.col("distinct_keys"))  # one row each
+    rows = seen.select("key", F.lit(False).alias("own")).union(accepted.select("key", F.lit(True)))
+    counts = rows.agg(F.count_if(~F.col("own")).alias("seen"), F.count_if("own").alias("prepared"), F.count_distinct(F.when(~F.col("own"), F.col("key"))).alias("distinct_keys"))
+    return counts.withColumn("collapsed", F.col("seen") - F.col("distinct_keys"))
 
 
 def open_any(spark: SparkSession, path: str) -> Corpus:

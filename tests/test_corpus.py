@@ -139,6 +139,7 @@ def test_stored_pages_stay_together(spark, tmp_path):
     assert before.items() <= {p: p.stat().st_mtime_ns for p in (tmp_path / "it's").rglob("*.parquet")}.items()
     assert c.count() == 12 and after.count() == 13 and after.scan_count("li") == 13 and after["new"].text == "n" and Corpus.open(spark, path)[1].text == "1x"
     assert after.changed(lambda t: t.remove(t.select("li")[0]) if t.select("li") else None).write(path).scan_count("li") == 6
+    assert Corpus.vacuum(spark, path) == 2 and Corpus.vacuum(spark, path) == 0 and Corpus.open(spark, path).scan_count("li") == 6
 
 
 def test_failures_duplicates_and_diff(spark):
@@ -216,6 +217,8 @@ def test_sources_sinks_cli_and_stream(spark, tmp_path, capsys):
     got = readers.warc(spark, str(warc)).orderBy("ordinal").collect()
     assert [(r["key"], r["html"], r["status"], r["fetched"]) for r in got] == [("http://e/1", "<p>é", 200, "2020-01-02T03:04:05Z"), ("http://e/3", "<p>café", 200, "2020-01-02T03:04:05Z")]
     assert [r["key"] for r in readers.warc(spark, str(warc), keys=["http://e/3", "no"]).collect()] == ["http://e/3"] and readers.warc(spark, str(warc), limit=1).count() == 1
+    seen = spark.createDataFrame([("a",), ("a",), ("b",)], "key string")
+    assert rows_of(readers.tally(seen.where("key = 'b'"), seen)) == [(3, 1, 2, 1)]
     out = str(tmp_path / "packed")
     assert cli.main(["pack", str(folder), "-o", out], spark) == 0 and cli.main(["list", out, "-i", "css:h1", "--to-folder", str(tmp_path / "files")], spark) == 0
     assert capsys.readouterr().out == "a\nFound 1 word(s):\n" and (tmp_path / "files" / "a.html").read_text() == "<h1>a</h1>"
