@@ -104,8 +104,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """docs(doc_id long, text) in descending doc_id, each part followed by the first row of the next: columns part, halo, doc_id, text.
 
     Parts are ranges of doc_id of about equal numbers of rows, cut by a sample of SAMPLE ids a part, chosen by a hash; so it
-    doesn't matter how ids are spread, and the driver holds no more than that sample. Only the first row of each part travels
-    twice. Null doc_ids come last.
+    doesn't matter how ids are spread, and the driver holds no more than that sample. A part is a task. Only the first row of each
+    part travels twice. Null doc_ids come last.
     """
     ids = docs.select("doc_id")
     n = ids.count()
@@ -120,7 +120,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     places = F.array(F.struct(F.col("part"), F.lit(False).alias("halo")))
     halo = F.array(F.struct(F.element_at(_longs([before.get(p, [0])[0] for p in range(none + 1)]), F.col("part") + 1).cast("int").alias("part"), F.lit(True).alias("halo")))
     rows = docs.select("doc_id", "text").withColumn("part", own).select("doc_id", "text", F.inline(F.when(leads, F.concat(places, halo)).otherwise(places)))
-    return rows.repartition("part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    return rows.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
 
 def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -131,7 +131,7 @@ def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     their text. Null text: as "". Null doc_ids come last, in one part. A table of one row: it is its own next. No rows: no rows. Other
     columns are ignored.
     """
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple] = []
