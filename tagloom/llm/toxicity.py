@@ -55,8 +55,9 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: list[list[int]], n_toxic:
     """stem -> number of times -> weight, at most `most` features; counts: (feature, toxic documents, other documents).
 
     toxic: of each toxic document, the places in counts of the features it has. Features are chosen greedily, each for the toxic
-    documents that none chosen before explains; so words that only come along with an insult, in copies of one document
-    say, explain nothing. A feature enters if its excess among those documents is beyond chance for so many candidates.
+    documents that none chosen before explains; so words that only come along with an insult explain nothing. A feature enters if
+    its excess among those documents is beyond chance for so many candidates. Then companions enter: no variants of the chosen
+    ones, and in at least COMPANION of the documents of the most frequent one. A document may hold one of those alone.
     """
     if not counts or not n_toxic:
         return {}

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from tagloom.llm import queries, toxicity
@@ -22,15 +24,21 @@ def test_patterns_of_clauses():
     assert 0 <= g.score("idiot " * 500 + ". idiot" * 500) <= 1
 
 
-def test_lexicon_takes_what_explains_toxic_documents():
-    """A word of copies of one insulting document comes along with the insult and explains nothing."""
+def test_lexicon_takes_what_explains_toxic_documents(monkeypatch):
+    """A word that comes along with an insult explains nothing; it enters, if at all, as a companion that is frequent enough by itself and no variant."""
     docs = [["loser$*1", "lose*1", "copied$*1"]] * 30 + [["loser$*1", "lose*1"]] * 20 + [["vequ*1", "vequ*2", "vequa$*1"]] * 25 + [["vequ*1", "vequ*2"]] * 15 + [["once$*1"]] * 2
     benign = {"lose*1": 9, "vequ*1": 300}
     names = sorted({f for d in docs for f in d})
     counts = [(f, sum(f in d for d in docs), benign.get(f, 0)) for f in names]
     own = [[names.index(f) for f in d] for d in docs]
-    got = toxicity.lexicon(counts, own, len(docs), 900, 10)
-    assert {(s, n) for s, table in got.items() for n in table} == {("loser$", 1), ("vequ", 2)}
+
+    def chosen(companion):
+        monkeypatch.setattr(toxicity, "COMPANION", companion)
+        return {(s, n) for s, table in toxicity.lexicon(counts, own, len(docs), 900, 10).items() for n in table}
+
+    assert chosen(math.inf) == {("loser$", 1), ("vequ", 2)}
+    assert chosen(0.7) == {("loser$", 1), ("vequ", 2)}  # "copied" is in 30 documents, "loser" in 50
+    assert chosen(0.5) == chosen(0.1) == {("loser$", 1), ("vequ", 2), ("copied$", 1)}
     assert len(toxicity.lexicon(counts, own, len(docs), 900, 1)) == 1 and toxicity.lexicon([], [], 0, 5, 3) == {}
 
 
