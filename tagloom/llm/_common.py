@@ -5,19 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
+    """The folder named in spark.checkpoint.dir; where it is unset and all runs on this machine (tests), a folder of this process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tagloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -58,6 +61,41 @@ def _clean() -> None:
             return
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def named(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+BITMAPS = 4096  # of 4 KB each: as many as a broadcast may hold
+
+
+def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs whose doc_id is in ids(doc_id), exactly, and all others, those without a doc_id included.
+
+    The ids are packed into bitmaps, a row of 4 KB for each run of 32,768 ids that has any. While there are few of those, they
+    are broadcast and no row of docs moves; beyond BITMAPS rows are dealt by doc_id instead.
+    """
+    bucket, bits = free_name(docs, "id_bucket"), free_name(docs, "id_bits")
+    packed = ids.where("doc_id is not null").groupBy(F.bitmap_bucket_number("doc_id").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias(bits))
+    maps = written(packed)
+    known, rest = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if maps.count() > BITMAPS:
+        own = ids.select("doc_id").distinct()
+        return known.join(own, "doc_id", "left_semi"), known.join(own, "doc_id", "left_anti").union(rest)
+    at = "bitmap_bit_position(doc_id)"
+    held = F.expr(f"coalesce(conv(hex(substring({bits}, CAST({at} DIV 8 AS INT) + 1, 1)), 16, 10) & shiftleft(1, CAST({at} % 8 AS INT)) <> 0, false)")
+    flagged = known.withColumn(bucket, F.bitmap_bucket_number("doc_id")).join(F.broadcast(maps), bucket, "left")
+    return flagged.where(held).select(*named(docs.columns)), flagged.where(~held).select(*named(docs.columns)).union(rest)
+
+
 def mapped(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
     """mapInArrow: make() runs once a task and returns the function from a batch to columns by name."""
     names = [f.split()[0] for f in _split_top(schema)]

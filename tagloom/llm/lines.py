@@ -5,29 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import among, dropped, free_name, named, written
+
+_PLACES = 2**32  # a place is doc_id * _PLACES + pos, as a decimal: it orders as (doc_id, pos) does and fits a hash aggregate's buffer
 
 
 def windows(docs: DataFrame, lines: int = 3) -> DataFrame:
-    """(doc_id, pos, h1, h2) of every window of consecutive lines that has a line that isn't blank."""
-    ends = [F.slice("w", i + 1, F.size("w")) for i in range(lines)]
-    at = F.arrays_zip(F.sequence(F.lit(0), F.size("w") - lines), *ends).alias("z")
-    split = docs.where("doc_id is not null and text is not null").select("doc_id", F.split("text", "\n", -1).alias("w"))
-    rows = split.where(F.size("w") >= lines).select("doc_id", F.inline(at)).toDF("doc_id", "pos", *(f"l{i}" for i in range(lines)))
-    own = [f"l{i}" for i in range(lines)]
-    said = F.concat(*(F.trim(c) for c in own)) != ""
-    return rows.where(F.col("pos").isNotNull() & said).select("doc_id", "pos", F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(1), *own[::-1]).alias("h2"))
+    """(doc_id, pos, h1, h2) of every window of consecutive lines that has a line that isn't blank.
+
+    Lines become two hashes and a mark each before windows are formed, so what is sliced and exploded are fixed-size values.
+    """
+    line = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), (F.trim(x) != "").alias("said")))
+    hashed = docs.where(F.col("doc_id").isNotNull() & ((F.instr("text", "\n") > 0) | F.lit(lines == 1))).select("doc_id", line.alias("w"))
+    each = [F.slice("w", i + 1, F.greatest(F.size("w") - (lines - 1), F.lit(0))).alias(f"l{i}") for i in range(lines)]
+    rows = hashed.select("doc_id", F.posexplode(F.arrays_zip(*each)).alias("pos", "z"))
+    own = [F.col(f"z.l{i}") for i in range(lines)]
+    said = F.greatest(*(x["said"].cast("int") for x in own)) == 1
+    return rows.where(said).select("doc_id", "pos", F.xxhash64(*(x["a"] for x in own)).alias("h1"), F.xxhash64(*(x["b"] for x in own)).alias("h2"))
 
 
 def repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
-    """(doc_id, cut array<int>): positions of the lines that later occurrences of repeated windows cover."""
-    own = windows(docs, lines)
-    # Earliest occurrence of each window and whether it is the only one: combined map-side, so common windows cost a row a task.
-    first = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("d"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hits = written(own.join(first, ["h1", "h2"]))
-    at = hits.where("doc_id = d").groupBy("h1", "h2").agg(F.min("pos").alias("p"))
-    later = hits.join(at, ["h1", "h2"]).where("doc_id > d or pos > p").select("doc_id", "pos")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    """(doc_id, starts array<int>): where later occurrences of repeated windows start.
+
+    A window's first place and number come from one aggregate with map-side combining. Windows with so many occurrences that they
+    would weigh on a task are few, fewer than 4 a partition, and meet their occurrences by broadcast; all others by hash.
+    """
+    own = written(windows(docs, lines))
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(11,0)") + F.col("pos")
+    groups = written(own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    bar = 1 + (groups.agg(F.sum("n")).first()[0] or 0) // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = own.join(F.broadcast(groups.where(F.col("n") > bar)), ["h1", "h2"])
+    rest = own.join(F.broadcast(groups.where(F.col("n") > bar).select("h1", "h2")), ["h1", "h2"], "left_anti").join(groups.where(F.col("n") <= bar), ["h1", "h2"])
+    later = hot.unionByName(rest).where(place > F.col("first"))
+    out = written(later.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("starts")))
+    dropped(own, groups)
+    return out
 
 
 def _cut(starts: Column, lines: int) -> Column:
@@ -40,26 +52,29 @@ def without_repeated_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     A window is `lines` consecutive lines, split at \\n alone and compared as they are. Windows of blank lines only don't
     count. Of all occurrences of a window, the first by (doc_id, position) stays; the lines that any other occurrence covers
     are removed, overlaps once. Every removed line stays at an earlier place. Windows are told apart by two 64-bit hashes.
+    Documents that lose nothing stay where they are; only the others meet their cuts.
 
     Null text or doc_id: unchanged, n_removed 0 (n_lines null without text). Fewer than `lines` lines: unchanged. Rows that share a
     doc_id are taken as one document, whose occurrences at one position count as one. A document that loses all its lines has
-    the text "". Other columns are kept; an n_lines or n_removed among them is replaced. An empty table gives no rows.
+    the text "". Other columns are kept, whatever their names; an n_lines or n_removed among them, in any case, is replaced. An
+    empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    starts = repeated_lines(docs, lines).withColumnsRenamed({"doc_id": "_id", "starts": "_starts"})
-    joined = docs.select(*kept).join(starts, F.col("doc_id") == F.col("_id"), "left").withColumn("_w", F.split("text", "\n", -1))
-    w = F.col("_w")
-    cut = _cut(F.col("_starts"), lines)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), cut)
-    text = F.when(F.col("_starts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-        F.concat_ws("\n", F.transform(stay, lambda i: F.element_at(w, i + 1)))
-    )
-    removed = F.when(F.col("_starts").isNull() | F.col("text").isNull(), 0).otherwise(F.size(w) - F.size(stay))
-    return joined.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in kept),
-        F.when(F.col("text").isNotNull(), F.size(w)).cast("long").alias("n_lines"),
-        removed.cast("long").alias("n_removed"),
-    )
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    starts, to = free_name(docs, "starts"), free_name(docs, "cut_id")
+    cuts = repeated_lines(docs, lines).toDF(to, starts)
+    inside, outside = among(docs.select(*named(kept)), cuts.select(F.col(to).alias("doc_id")))
+    w = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(w) - 1), _cut(F.col(starts), lines))
+    left = F.concat_ws("\n", F.transform(stay, lambda i: F.element_at(w, i + 1)))
+
+    def shaped(rows: DataFrame, text: Column, removed: Column) -> DataFrame:
+        own = (text.alias(c) if c.lower() == "text" else x for c, x in zip(kept, named(kept), strict=True))
+        return rows.select(*own, F.when(F.col("text").isNotNull(), F.size(w)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+
+    same = shaped(outside, F.col("text"), F.lit(0))
+    text = F.when(F.col("text").isNotNull() & F.col(starts).isNotNull(), left).otherwise(F.col("text"))
+    removed = F.when(F.col("text").isNotNull() & F.col(starts).isNotNull(), F.size(w) - F.size(stay)).otherwise(0)
+    return same.unionByName(shaped(inside.join(cuts, F.col("doc_id") == F.col(to), "left"), text, removed))
 
 
 ORACLE = """

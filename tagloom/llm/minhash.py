@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, dropped, mapped, mixed, written
+from ._common import WordHashes, among, dropped, mapped, mixed, written
 from .graph import components
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -96,25 +96,6 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), "rep long, hashes binary", make)
 
 
-BITMAPS = 4096  # of 4 KB each: as many as a broadcast may hold
-
-
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids(doc_id), exactly.
-
-    The ids are packed into bitmaps, a row of 4 KB for each run of 32,768 ids that has any. While there are few of those, they
-    are broadcast and the texts stay where they are; beyond BITMAPS the texts are dealt by doc_id instead.
-    """
-    packed = ids.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
-    bits = written(packed)
-    if bits.count() > BITMAPS:
-        return docs.join(ids.distinct(), "doc_id", "left_semi")
-    at = "bitmap_bit_position(doc_id)"
-    held = f"conv(hex(substring(bits, CAST({at} DIV 8 AS INT) + 1, 1)), 16, 10) & shiftleft(1, CAST({at} % 8 AS INT)) <> 0"
-    rows = docs.where("doc_id is not null").withColumn("bucket", F.bitmap_bucket_number("doc_id"))
-    return rows.join(F.broadcast(bits), "bucket").where(held).drop("bucket", "bits")
-
-
 def _common_size(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -218,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = written(banded.join(groups.select("key", "pivot"), "key").where("rep <> pivot"))
     pairs = written(members.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    sets = written(shingle_sets(among(docs.select("doc_id", "text"), wanted), k))
+    sets = written(shingle_sets(among(docs.select("doc_id", "text"), wanted)[0], k))
 
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), "a")
     links = written(confirmed(left.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"), percent))

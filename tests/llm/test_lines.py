@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tagloom.llm.lines import without_repeated_lines
 
 from .util import collected, documents, odd_rows
@@ -48,3 +50,13 @@ def test_odd_rows_keep_other_columns(spark):
     out = without_repeated_lines(frame)
     assert out.columns == [*frame.columns, "n_lines", "n_removed"]
     assert result(frame) == brute(odd_rows()) and result(documents(spark, [])) == []
+
+
+def test_a_very_common_passage_and_clashing_names(spark):
+    """A passage in most documents meets its occurrences by broadcast; names that differ in case from the new columns are replaced."""
+    rows = [(i, f"{i}\nsame 1\nsame 2\nsame 3\n{i % 7}\nend\n.") for i in range(400)] + [(None, "same 1\nsame 2\nsame 3")]
+    assert result(documents(spark, rows)) == brute(rows)
+    frame = documents(spark, rows).withColumn("N_Lines", F.lit("x")).withColumn("first", F.lit(1)).withColumn("pos", F.lit("p")).withColumn("a.b", F.lit(2))
+    out = without_repeated_lines(frame)
+    assert out.columns == [*(c for c in frame.columns if c != "N_Lines"), "n_lines", "n_removed"]
+    assert {(r["first"], r["pos"], r["a.b"]) for r in collected(out)} == {(1, "p", 2)}

@@ -1,6 +1,6 @@
 import random
 
-from tagloom.llm import graph, minhash
+from tagloom.llm import _common, graph, minhash
 
 from .util import collected, documents, odd_rows
 
@@ -107,8 +107,12 @@ def test_components_of_long_paths(spark):
 
 def test_rows_among_ids(spark, monkeypatch):
     ids = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65535, 65536, 100000, -1, -5, -32768, -40000, 2**40, 2**40 + 3]
-    docs = documents(spark, [(i, "") for i in {*range(-50, 120000, 7), *ids, *(i + 1 for i in ids)}] + [(None, "")])
-    own = spark.createDataFrame([(i,) for i in ids * 2], "doc_id long")
+    every = [*{*range(-50, 120000, 7), *ids, *(i + 1 for i in ids)}, None]
+    docs = documents(spark, [(i, "") for i in every])
+    own = spark.createDataFrame([(i,) for i in [*ids * 2, None]], "doc_id long")
     for most in (4096, 0):
-        monkeypatch.setattr(minhash, "BITMAPS", most)
-        assert sorted(r["doc_id"] for r in collected(minhash.among(docs, own))) == sorted(ids)
+        monkeypatch.setattr(_common, "BITMAPS", most)
+        inside, outside = _common.among(docs, own)
+        assert inside.columns == outside.columns == docs.columns
+        assert sorted(r["doc_id"] for r in collected(inside)) == sorted(ids)
+        assert sorted((r["doc_id"] for r in collected(outside)), key=str) == sorted(set(every) - set(ids), key=str)

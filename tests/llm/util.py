@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-EXTRA = "n_chars long, key string, pos int, rep long, digest string, bucket int, score double, part int, length int, h long, w string, lang string"
+EXTRA = "n_chars long, key string, pos int, rep long, digest string, bucket int, score double, part int, length int, h long, w string, lang string, _id long, _starts string, _w string, starts int, cut_id int, id_bucket string, id_bits int, l0 int, z int"
 
 
 def documents(spark, rows, extra=True):
