@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
 
@@ -18,7 +17,7 @@ from .tags import CLOSED_BY, CLOSED_UNDER, FOREIGN, RAW, RCDATA, STANDARD, VOID
 MAX_NODES = 16_777_215
 MAX_DEPTH = 8_192
 
-_TAG_NAME = re.compile(r"[^\s/>]+")
+_SPACE = re.compile(r"[ \t\n\f\r]+")
 _ATTR = re.compile(r"""[\s/]*(=?[^\s/>=]+|=)(\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?""")
 _REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)")
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -69,76 +68,6 @@ def _attr_value(value: str) -> str:
     return _REFERENCE.sub(one, value)
 
 
-def tokens(source: str) -> Iterator[tuple]:
-    """("text", s, decoded) | ("start", name, attrs, self_closing) | ("end", name) | ("comment", s) | ("doctype",).
-
-    The caller sends back, after a start tag, the mode of what follows: "raw", "rcdata", or None; and whether it is in foreign content.
-    """
-    s = source.replace("\r\n", "\n").replace("\r", "\n") if "\r" in source else source
-    n, at, last = len(s), 0, 0
-    foreign = False
-    while at < n:
-        at = s.find("<", at)
-        if at < 0 or at + 1 >= n:
-            break
-        c = s[at + 1]
-        if c.isascii() and c.isalpha():
-            m = _TAG_NAME.match(s, at + 1)
-            parsed = _attributes(s, m.end())
-            if parsed is None:  # the text ends inside the tag
-                if last < at:
-                    yield ("text", s[last:at])
-                return
-            attrs, closing, after = parsed
-            if last < at:
-                yield ("text", s[last:at])
-            name = m[0].translate(_UPPER)
-            mode, foreign = yield ("start", name, attrs, closing)
-            at = last = after
-            if mode:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I | re.A).search(s, at)
-                to = close.start() if close else n
-                if at < to:
-                    yield ("text" if mode == "rcdata" else "verbatim", s[at:to])
-                at = last = to
-        elif c == "/" and at + 2 < n and s[at + 2].isascii() and s[at + 2].isalpha():
-            m = _TAG_NAME.match(s, at + 2)
-            parsed = _attributes(s, m.end())
-            if last < at:
-                yield ("text", s[last:at])
-            if parsed is None:
-                return
-            answer = yield ("end", m[0].translate(_UPPER))
-            foreign = answer[1] if answer else foreign
-            at = last = parsed[2]
-        elif c in "!?/":
-            if last < at:
-                yield ("text", s[last:at])
-            if s.startswith("<!--", at):
-                if s.startswith(("<!-->", "<!--->"), at):
-                    to, after = at + 4, at + (5 if s[at + 4] == ">" else 6)
-                else:
-                    m = re.compile(r"--!?>").search(s, at + 4)
-                    to, after = (m.start(), m.end()) if m else (n, n)
-                yield ("comment", s[at + 4 : to])
-            elif foreign and s.startswith("<![CDATA[", at):
-                to = s.find("]]>", at)
-                to, after = (to, to + 3) if to >= 0 else (n, n)
-                yield ("verbatim", s[at + 9 : to])
-            else:
-                to = s.find(">", at)
-                to, after = (to, to + 1) if to >= 0 else (n, n)
-                if s[at + 2 : at + 9].lower() == "doctype" and c == "!":
-                    yield ("doctype",)
-                elif c != "/" or to > at + 2:
-                    yield ("comment", s[at + (1 if c == "?" else 2) : to])
-            at = last = after
-        else:
-            at += 1
-    if last < n:
-        yield ("text", s[last:])
-
-
 def _attributes(s: str, at: int) -> tuple[list[tuple[str, str]], bool, int] | None:
     """Attributes from `at` on, whether the tag ends in />, and where it ends; None if it doesn't end."""
     attrs: list[tuple[str, str]] = []
@@ -164,96 +93,177 @@ def _attributes(s: str, at: int) -> tuple[list[tuple[str, str]], bool, int] | No
                 attrs.append(pair)
 
 
-def build(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> list[Node]:
-    """The nodes of a document, the root first.
+_WELL = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:\s+[A-Za-z][^\s"'>/=<]*="[^"]*")*)\s*(/?)>""")  # a tag as most are written
+_PAIR = re.compile(r"""([A-Za-z][^\s"'>/=<]*)="([^"]*)\"""")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_COMMENT_END = re.compile(r"--!?>")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW | RCDATA}
+
+KINDS = ("root", "element", "text", "comment", "doctype")
+ROOT, ELEMENT, TEXT, COMMENT, DOCTYPE = range(5)
+Row = tuple[int, str | None, int | None, int, list | None, list | None, str | None, bool]  # kind, tag, parent, depth, attrs, classes, text, raw
+
+
+def parse_rows_of(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> tuple[list[Row], list[int]]:
+    """A row for each node of a document, the root's first, and where each node's subtree ends.
 
     No element is implied and p doesn't close p. An end tag closes the innermost element of its name with all that is open in it;
     where none is open it is ignored. strict_end: an end tag that finds one child of CLOSED_UNDER open closes only that child.
+    One pass without objects: tags in the usual form are one match of one expression, others are read sign by sign.
     """
-    nodes = [Node(0, "root", "[document]", None, 0)]
-    open_ = [0]
+    s = source.replace("\r\n", "\n").replace("\r", "\n") if "\r" in source else source
+    n, at, last = len(s), 0, 0
+    rows: list[Row] = [(ROOT, "[document]", None, 0, None, None, None, False)]
+    ends = [1]
+    open_, names = [0], ["[document]"]
     foreign: list[int] = []
-    texts: list[str] = []
-
-    def add(kind: str, tag: str | None, **more) -> Node:
-        if len(nodes) > max_nodes:
-            raise CapacityError(f"more than {max_nodes} nodes")
-        node = Node(len(nodes), kind, tag, open_[-1], len(open_), **more)
-        nodes.append(node)
-        node.end = len(nodes)
-        return node
+    texts: list[str] = []  # of the text node that is being read
 
     def flush() -> None:
-        if texts:
-            said = "".join(texts)
-            texts.clear()
-            if said:
-                add("text", None, text=said, raw=nodes[open_[-1]].tag in RAW)
+        said = "".join(texts)
+        texts.clear()
+        if said:
+            if len(rows) > max_nodes:
+                raise CapacityError(f"more than {max_nodes} nodes")
+            rows.append((TEXT, None, open_[-1], len(open_), None, None, said, names[-1] in RAW))
+            ends.append(len(rows))
 
     def pop() -> None:
         i = open_.pop()
-        nodes[i].end = len(nodes)
+        names.pop()
+        ends[i] = len(rows)
         if foreign and foreign[-1] == i:
             foreign.pop()
 
-    stream = tokens(source)
-    answer = None
     while True:
-        try:
-            token = stream.send(answer)
-        except StopIteration:
+        at = s.find("<", at)
+        if at < 0 or at + 1 >= n:
             break
-        answer = None
-        kind = token[0]
-        if kind == "text":
-            texts.append(html.unescape(token[1]) if "&" in token[1] else token[1])
-            continue
-        if kind == "verbatim":
-            texts.append(token[1])
+        m = _WELL.match(s, at)
+        if m:
+            slash, name, inside, closing = m.groups()
+            attrs = [(a if a.islower() else a.translate(_UPPER), _attr_value(v)) for a, v in _PAIR.findall(inside)] if inside and not slash else []
+            if len(attrs) > 1 and len(set(attrs)) < len(attrs):
+                attrs = list(dict.fromkeys(attrs))
+            after = m.end()
+        elif m := _TAG.match(s, at):
+            slash, name = m.groups()
+            parsed = _attributes(s, m.end())
+            if parsed is None:  # the text ends inside the tag
+                if last < at:
+                    texts.append(html.unescape(s[last:at]))
+                last = n
+                break
+            attrs, closing, after = parsed
+        else:
+            c = s[at + 1]
+            if c not in "!?/":
+                at += 1
+                continue
+            if last < at:
+                texts.append(html.unescape(s[last:at]))
+            said = None  # of a comment
+            if s.startswith("<!--", at):
+                if s.startswith(("<!-->", "<!--->"), at):
+                    said, after = "", at + (5 if s[at + 4] == ">" else 6)
+                else:
+                    m = _COMMENT_END.search(s, at + 4)
+                    said, after = (s[at + 4 : m.start()], m.end()) if m else (s[at + 4 :], n)
+            elif foreign and s.startswith("<![CDATA[", at):
+                to = s.find("]]>", at)
+                to, after = (to, to + 3) if to >= 0 else (n, n)
+                texts.append(s[at + 9 : to])
+            else:
+                to = s.find(">", at)
+                to, after = (to, to + 1) if to >= 0 else (n, n)
+                if c == "!" and s[at + 2 : at + 9].lower() == "doctype":
+                    flush()
+                    if len(rows) > max_nodes:
+                        raise CapacityError(f"more than {max_nodes} nodes")
+                    rows.append((DOCTYPE, "!doctype", open_[-1], len(open_), [("html", "")], None, None, False))
+                    ends.append(len(rows))
+                elif c != "/" or to > at + 2:
+                    said = s[at + (1 if c == "?" else 2) : to]
+            if said is not None:
+                flush()
+                if len(rows) > max_nodes:
+                    raise CapacityError(f"more than {max_nodes} nodes")
+                rows.append((COMMENT, None, open_[-1], len(open_), None, None, said, False))
+                ends.append(len(rows))
+            at = last = after
             continue
-        flush()
-        if kind == "start":
-            _, tag, attrs, closing = token
-            if len(open_) > 1 and tag in CLOSED_BY.get(nodes[open_[-1]].tag, ()):
-                pop()
-            classes = None
-            if any(a == "class" for a, _ in attrs):
-                said = next(v for a, v in attrs if a == "class")
-                classes = list(dict.fromkeys(re.split(r"[ \t\n\f\r]+", said.strip(" \t\n\f\r"))))
-                attrs = [(a, v) for a, v in attrs if a != "class"]
-            node = add("element", tag, attrs=attrs, classes=classes)
-            nodes[node.parent].children.append(node.idx)
-            mode = None
-            if tag not in VOID and not (closing and (foreign or tag in FOREIGN)):
-                if len(open_) > max_depth:
-                    raise CapacityError(f"nesting deeper than {max_depth}")
-                open_.append(node.idx)
-                if tag in FOREIGN:
-                    foreign.append(node.idx)
-                elif not foreign:
-                    mode = "raw" if tag in RAW else "rcdata" if tag in RCDATA else None
-            answer = mode, bool(foreign)
-        elif kind == "end":
-            tag = token[1]
-            if tag not in VOID and any(nodes[i].tag == tag for i in open_[1:]):
-                if strict_end and nodes[open_[-1]].tag != tag and nodes[open_[-2]].tag == tag and tag in CLOSED_UNDER.get(nodes[open_[-1]].tag, ()):
+
+        if last < at:
+            said = s[last:at]
+            texts.append(html.unescape(said) if "&" in said else said)
+        at = last = after
+        if texts:
+            flush()
+        if not name.islower():
+            name = name.translate(_UPPER)
+        if slash:
+            if name not in VOID and name in names:
+                if strict_end and names[-1] != name and names[-2] == name and name in CLOSED_UNDER.get(names[-1], ()):
                     pop()
                 else:
-                    while nodes[open_[-1]].tag != tag:
+                    while names[-1] != name:
                         pop()
                     pop()
-            answer = None, bool(foreign)
-        elif kind == "comment":
-            add("comment", None, text=token[1])
-        else:
-            add("doctype", "!doctype", attrs=[("html", "")])
+            continue
+        if len(open_) > 1 and name in CLOSED_BY.get(names[-1], ()):
+            pop()
+        classes = None
+        for a, v in attrs:
+            if a == "class":
+                classes = list(dict.fromkeys(_SPACE.split(v.strip(" \t\n\f\r"))))
+                attrs = [(a, v) for a, v in attrs if a != "class"]
+                break
+        if len(rows) > max_nodes:
+            raise CapacityError(f"more than {max_nodes} nodes")
+        idx = len(rows)
+        rows.append((ELEMENT, name, open_[-1], len(open_), attrs, classes, None, False))
+        ends.append(idx + 1)
+        if name in VOID or (closing and (foreign or name in FOREIGN)):
+            continue
+        if len(open_) > max_depth:
+            raise CapacityError(f"nesting deeper than {max_depth}")
+        open_.append(idx)
+        names.append(name)
+        if name in FOREIGN:
+            foreign.append(idx)
+        elif name in _CLOSE and not foreign:
+            close = _CLOSE[name].search(s, at)
+            to = close.start() if close else n
+            if at < to:
+                said = s[at:to]
+                texts.append(html.unescape(said) if name in RCDATA and "&" in said else said)
+            at = last = to
+    if last < n:
+        texts.append(html.unescape(s[last:]))
     flush()
     for i in open_:
-        nodes[i].end = len(nodes)
+        ends[i] = len(rows)
+    return rows, ends
+
+
+def build(source: str, strict_end: bool = False, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH) -> list[Node]:
+    """The nodes of a document as objects, the root first; see parse_rows_of."""
+    rows, ends = parse_rows_of(source, strict_end, max_nodes, max_depth)
+    nodes = [Node(i, KINDS[k], tag, parent, depth, attrs, classes, text, raw, end) for i, ((k, tag, parent, depth, attrs, classes, text, raw), end) in enumerate(zip(rows, ends, strict=True))]
+    for x in nodes:
+        if x.kind == "element":
+            nodes[x.parent].children.append(x.idx)
     _number(nodes)
     return nodes
 
 
+def rows_of(nodes: list[Node]) -> tuple[list[Row], list[int]]:
+    """Objects as rows again."""
+    number = {k: i for i, k in enumerate(KINDS)}
+    rows = [(number[x.kind], x.tag, x.parent, x.depth, None if x.attrs is None else [tuple(a) for a in x.attrs], x.classes, x.text, x.raw) for x in nodes]
+    return rows, [x.end for x in nodes]
+
+
 def _number(nodes: list[Node]) -> None:
     """Places among element siblings, from both ends, all and of the same name."""
     for parent in nodes:
@@ -273,13 +283,10 @@ def _number(nodes: list[Node]) -> None:
             x.next_el = own[k + 1] if k + 1 < len(own) else None
 
 
-def checksum(nodes: list[Node]) -> int:
+def checksum(rows: list[Row]) -> int:
     """A hash of structure, names, attributes, classes and texts; signed 64 bits."""
-    h = xxhash.xxh3_64()
-    for x in nodes:
-        said = (x.kind, x.tag, x.parent, tuple(x.classes) if x.classes is not None else None, tuple(x.attrs or ()), x.text)
-        h.update(repr(said))
-    return h.intdigest() - 2**63
+    said = repr([(kind, tag, parent, attrs or None, classes, text) for kind, tag, parent, _, attrs, classes, text, _ in rows])
+    return xxhash.xxh3_64_intdigest(said.encode()) - 2**63
 
 
 def is_standard(tag: str | None) -> bool:

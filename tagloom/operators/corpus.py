@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import serialize
-from ..functions.tree import Node
+from ..functions.tree import Node, rows_of
 from ..plans.compile import attribute_value, has_attribute, select
 from ..plans.selector import Selector
 from .document import Document
@@ -357,7 +357,7 @@ def changed_rows(nodes: DataFrame, change) -> DataFrame:
             return table
         tree = Tree(linked([as_node(r) for r in rows]))
         change(tree)
-        return pa.Table.from_batches([as_batch([(rows[0]["pos"], rows[0]["key"], tree.rebuilt(), None)])])
+        return pa.Table.from_batches([as_batch([(rows[0]["pos"], rows[0]["key"], rows_of(tree.rebuilt()), None)])])
 
     return nodes.groupBy("pos").applyInArrow(run, NODES)
 

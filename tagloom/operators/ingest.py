@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tree import MAX_DEPTH, MAX_NODES, CapacityError, Node, build, checksum, is_standard
+from ..functions.tree import ELEMENT, KINDS, MAX_DEPTH, MAX_NODES, ROOT, CapacityError, Row, checksum, is_standard, parse_rows_of
 
 NODES = (
     "pos long, key string, idx int, end_idx int, parent int, prev_el int, next_el int, depth int, kind string, tag string, is_std boolean, id string, "
@@ -17,41 +17,92 @@ NODES = (
     "text string, raw boolean, checksum long, parse_error string"
 )
 _PAIR = pa.struct([("name", pa.string()), ("value", pa.string())])
-_TYPES = {
-    "pos": pa.int64(), "key": pa.string(), "kind": pa.string(), "tag": pa.string(), "is_std": pa.bool_(), "id": pa.string(), "classes": pa.list_(pa.string()),
-    "attrs": pa.list_(_PAIR), "text": pa.string(), "raw": pa.bool_(), "checksum": pa.int64(), "parse_error": pa.string(),
-}
 _COLUMNS = [c.split()[0] for c in NODES.replace("struct<name:string,value:string>", "struct").split(", ")]
 
 
-def as_batch(pages: list[tuple[int, str, list[Node], str | None]]) -> pa.RecordBatch:
-    """(pos, key, nodes, parse_error) of pages as rows of the nodes table."""
-    flat = [x for _, _, nodes, _ in pages for x in nodes]
-    sizes = [len(nodes) for _, _, nodes, _ in pages]
+def _lists(values: list[list | None], kind: pa.DataType, flat: pa.Array) -> pa.Array:
+    """A list array of flat cut into the lengths of values, null where a value is None."""
+    lengths = [len(x) if x else 0 for x in values]
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, pa.list_(kind), mask=pa.array([x is None for x in values], pa.bool_()))
+
+
+def as_batch(pages: list[tuple[int, str, tuple[list[Row], list[int]], str | None]]) -> pa.RecordBatch:
+    """(pos, key, rows and ends, parse_error) of pages as rows of the nodes table; places among siblings are computed for all pages at once."""
+    sizes = np.array([len(rows) for _, _, (rows, _), _ in pages], np.int64)
+    starts = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(pages)), sizes)
+    kind, tag, parent, depth, attrs, classes, text, raw = zip(*(r for _, _, (rows, _), _ in pages for r in rows), strict=True) if pages else [()] * 8
+    n, kind = len(kind), np.array(kind, np.int8)
+    base = np.repeat(starts, sizes)
 
-    def by_page(values: list, kind: pa.DataType) -> pa.Array:
-        return pa.array(values, kind).take(pa.array(of))
+    def by_page(values: list, of_type: pa.DataType) -> pa.Array:
+        return pa.array(values, of_type).take(pa.array(of))
 
-    def at_root(values: list) -> list:
-        out: list = [None] * len(flat)
-        for start, v in zip(np.cumsum([0, *sizes[:-1]]).tolist() if sizes else [], values, strict=True):
+    def at_root(values: list, of_type: pa.DataType) -> pa.Array:
+        out: list = [None] * n
+        for start, v in zip(starts.tolist(), values, strict=True):
             out[start] = v
-        return out
-
+        return pa.array(out, of_type)
+
+    tags = pa.array(tag, pa.string())
+    own = np.nonzero(kind == ELEMENT)[0]
+    above = np.array([parent[i] for i in own.tolist()], np.int64) + base[own]
+    names = tags.dictionary_encode().indices.to_numpy(zero_copy_only=False)[own].astype(np.int64)
+
+    def places(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of elements, grouped by keys in document order: place from the start, from the end, and the order itself."""
+        order = np.lexsort((own, *keys))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        first = np.nonzero(new)[0]
+        size = np.diff(np.append(first, len(order)))
+        at = np.arange(len(order)) - np.repeat(first, size)
+        forth, back = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+        forth[order], back[order] = at + 1, np.repeat(size, size) - at
+        return forth, back, order
+
+    def spread(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+        """int32 at the elements, null elsewhere and where missing."""
+        out, null = np.zeros(n, np.int32), np.ones(n, bool)
+        out[own], null[own] = values, False if missing is None else missing
+        return pa.array(out, pa.int32(), mask=null)
+
+    forth, back, order = places(above)
+    type_forth, type_back, _ = places(names, above)
+    local = (own - base[own]).astype(np.int32)
+    before, after = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
+    before[order[1:]], after[order[:-1]] = local[order[:-1]], local[order[1:]]
+
+    pairs = [a for x in attrs if x for a in x]
+    flat = pa.StructArray.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], fields=list(_PAIR))
     columns = {
         "pos": by_page([p for p, _, _, _ in pages], pa.int64()),
         "key": by_page([k for _, k, _, _ in pages], pa.string()),
-        "end_idx": [x.end for x in flat],
-        "is_std": [is_standard(x.tag) if x.kind == "element" else None for x in flat],
-        "id": [x.id if x.attrs else None for x in flat],
-        "attrs": [None if x.attrs is None else [{"name": n, "value": v} for n, v in x.attrs] for x in flat],
-        "n_child_el": [len(x.children) for x in flat],
-        "checksum": at_root([None if error else checksum(nodes) for _, _, nodes, error in pages]),
-        "parse_error": at_root([error for _, _, _, error in pages]),
+        "idx": pa.array((np.arange(n) - base).astype(np.int32)),
+        "end_idx": pa.array([e for _, _, (_, ends), _ in pages for e in ends], pa.int32()),
+        "parent": pa.array(parent, pa.int32()),
+        "prev_el": spread(before, forth == 1),
+        "next_el": spread(after, back == 1),
+        "depth": pa.array(depth, pa.int32()),
+        "kind": pa.array(KINDS).take(pa.array(kind)),
+        "tag": tags,
+        "is_std": pa.array([is_standard(t) if k == ELEMENT else None for k, t in zip(kind.tolist(), tag, strict=True)], pa.bool_()),
+        "id": pa.array([next((v for a, v in x if a == "id"), None) if x else None for x in attrs], pa.string()),
+        "classes": _lists(classes, pa.string(), pa.array([c for x in classes if x for c in x], pa.string())),
+        "attrs": _lists(attrs, _PAIR, flat),
+        "sib_ord": spread(forth),
+        "sib_rev": spread(back),
+        "type_ord": spread(type_forth),
+        "type_rev": spread(type_back),
+        "n_child_el": pa.array(np.bincount(above, minlength=n).astype(np.int32)),
+        "text": pa.array(text, pa.string()),
+        "raw": pa.array(raw, pa.bool_()),
+        "checksum": at_root([None if error else checksum(rows) for _, _, (rows, _), error in pages], pa.int64()),
+        "parse_error": at_root([error for _, _, _, error in pages], pa.string()),
     }
-    arrays = [columns[c] if c in columns else [getattr(x, c) for x in flat] for c in _COLUMNS]
-    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, _TYPES.get(c, pa.int32())) for a, c in zip(arrays, _COLUMNS, strict=True)], names=_COLUMNS)
+    return pa.RecordBatch.from_arrays([columns[c] for c in _COLUMNS], names=_COLUMNS)
 
 
 def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, strict_end: bool = False, chunk: int = 20_000) -> DataFrame:
@@ -64,20 +115,20 @@ def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed, size = [], 0
         for batch in batches:
-            for pos, key, source in zip(*(batch.column(c) for c in ("pos", "key", "html")), strict=True):
-                pos, key, source = pos.as_py(), key.as_py(), source.as_py()
+            for pos, key, source in zip(*(batch.column(c).to_pylist() for c in ("pos", "key", "html")), strict=True):
                 try:
                     if source is None:
                         raise ValueError("no html")
-                    nodes, error = build(source, strict_end, max_nodes, max_depth), None
+                    page, error = parse_rows_of(source, strict_end, max_nodes, max_depth), None
                 except (CapacityError, ValueError) as e:
-                    nodes, error = [Node(0, "root", "[document]", None, 0, end=1)], str(e)
-                parsed.append((pos, key, nodes, error))
-                size += len(nodes)
+                    page, error = ([(ROOT, "[document]", None, 0, None, None, None, False)], [1]), str(e)
+                parsed.append((pos, key, page, error))
+                size += len(page[0])
                 if size >= chunk:
                     yield as_batch(parsed)
                     parsed, size = [], 0
-        yield as_batch(parsed)
+        if parsed:
+            yield as_batch(parsed)
 
     return pages.select("pos", "key", "html").mapInArrow(run, NODES)
 
