@@ -77,7 +77,7 @@ def _guess(raw: bytes, url: str | None) -> str:
         from charset_normalizer import from_bytes
     except ImportError:
         return "cp1252"
-    best = from_bytes(raw[:65536], cp_exclusion=["utf_8"]).best()
+    best = from_bytes(raw, cp_exclusion=["utf_8"]).best()
     plain = bytes(range(32, 127))
     if best and _encoding(best.encoding.encode()) and plain.decode(best.encoding, "replace") == plain.decode("ascii"):
         return best.encoding

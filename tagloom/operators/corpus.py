@@ -18,9 +18,10 @@ from ..functions import serialize
 from ..functions.tree import Node, rows_of
 from ..plans.compile import attribute_value, has_attribute, select
 from ..plans.selector import Selector
+from ..session import written
 from .document import Document
 from .filter import Filter
-from .ingest import NODES, first_by_key, first_of_each, parse_rows
+from .ingest import NODES, as_batch, first_by_key, first_of_each, parse_rows, without_keys
 
 Sel = Selector | str
 SYSTEM = ["pos", "key", "checksum", "n_nodes", "parse_error"]
@@ -81,8 +82,9 @@ class Corpus:
         spark, path = self.docs.sparkSession, _qualified(self.docs.sparkSession, path)
         buckets, segments = _current(spark, path)
         base = self.docs.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
-        fresh = pages.join(self.docs.select(F.col("key").alias(key)), key, "left_anti")
-        more = parse_pages(fresh, key, html, meta, order=order, base=base)
+        meta = list(meta)
+        own = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"), *meta, *([F.col(order).cast("long").alias("_at")] if order else []))
+        more = parse_pages(without_keys(own, self.docs, "_at" if order else None), "key", "html", meta, order="_at" if order else None, base=base)
         nodes = more._dealt(buckets)
         segment = more._stored(path, nodes if on_error == "raise" else nodes.where("parse_error is null"), buckets, like=self.docs)  # a page that failed is one row
         if on_error == "raise":
@@ -95,6 +97,18 @@ class Corpus:
         _point(spark, path, buckets, [*segments, segment])
         return Corpus.open(spark, path)
 
+    @staticmethod
+    def compact(spark: SparkSession, path: str, buckets: int | None = None) -> Corpus:
+        """All segments rewritten as one, in so many buckets (as many as before); nothing is parsed again. The old ones stay until vacuum()."""
+        path = _qualified(spark, path)
+        own, buckets = Corpus.open(spark, path), buckets or _current(spark, path)[0]
+        _point(spark, path, buckets, [own._stored(path, own.nodes.repartition(buckets, "pos"), buckets)])
+        return Corpus.open(spark, path)
+
+    @staticmethod
+    def segments(spark: SparkSession, path: str) -> int:
+        return len(_current(spark, _qualified(spark, path))[1])
+
     @staticmethod
     def vacuum(spark: SparkSession, path: str) -> int:
         """Delete the segments that the current version doesn't name, and say how many; nobody may be at work on another version."""
@@ -234,26 +248,30 @@ class Corpus:
     def _per_page(self, nodes: DataFrame, pretty: bool) -> DataFrame:
         write = serialize.pretty if pretty else serialize.raw
 
-        def run(table):
+        def run(batches):
             import pyarrow as pa
 
-            rows = sorted(table.to_pylist(), key=lambda r: r["idx"])
-            own = [as_node(r) for r in rows]
-            said = [(i, write(own, i)) for i in rows[0]["_wanted"]]
-            return pa.table({"pos": pa.array([rows[0]["pos"]] * len(said), pa.int64()), "key": pa.array([rows[0]["key"]] * len(said), pa.string()), "idx": pa.array([i for i, _ in said], pa.int32()), "html": pa.array([h for _, h in said], pa.string())})
+            out = []
+            for rows in pages_of(batches):
+                own = [as_node(r) for r in rows]
+                out += [(rows[0]["pos"], rows[0]["key"], i, write(own, i)) for i in rows[0]["_wanted"]]
+                if sum(len(x[3]) for x in out[-1:]) > 1 << 20 or len(out) >= 1000:
+                    yield _batch(pa, out)
+                    out = []
+            yield _batch(pa, out)
 
         columns = ["pos", "key", "idx", "end_idx", "parent", "depth", "kind", "tag", "id", "classes", "attrs", "text", "raw", "_wanted"]
-        return nodes.select(*columns).groupBy("pos").applyInArrow(run, "pos long, key string, idx int, html string")
+        return by_page(nodes, columns).mapInArrow(run, "pos long, key string, idx int, html string")
 
     # -- questions of the whole corpus
 
-    def matching(self, what: Sel | Filter) -> DataFrame:
-        """(pos, key) of pages with a match, or of those that a filter keeps, in order."""
+    def matching(self, what: Sel | Filter, ordered: bool = True) -> DataFrame:
+        """(pos, key) of pages with a match, or of those that a filter keeps, in order unless that isn't asked for."""
         if isinstance(what, Filter):
             kept = what.apply(self.docs.select("pos", "key"), self.nodes)
         else:
             kept = select(self.nodes, what).select("pos", "key").distinct()  # nodes carry keys: no join
-        return kept.select("pos", "key").orderBy("pos")
+        return _ordered(kept.select("pos", "key"), ordered)
 
     def select_first(self, selector: Sel) -> DataFrame:
         """The first match of each page that has one, as rows of nodes."""
@@ -290,24 +308,24 @@ class Corpus:
         wrong = F.raise_error(F.concat(F.col("key"), F.lit(": "), F.col("n"), F.lit(f" matches, not {least} to {most}")))
         return counts.withColumn("n", F.when(F.col("n").between(least, most), F.col("n")).otherwise(wrong.cast("long")))
 
-    def scan_text(self, selector: Sel) -> DataFrame:
+    def scan_text(self, selector: Sel, ordered: bool = True) -> DataFrame:
         """(pos, key, values) of pages with a match: the matches' texts in order."""
-        return self._listed(self.texts(select(self.nodes, selector).select("pos", "key", "idx", "end_idx", "tag"), "value"))
+        return self._listed(self.texts(select(self.nodes, selector).select("pos", "key", "idx", "end_idx", "tag"), "value"), ordered)
 
-    def scan_attr(self, selector: Sel, name: str, skip_missing: bool = False) -> DataFrame:
+    def scan_attr(self, selector: Sel, name: str, skip_missing: bool = False, ordered: bool = True) -> DataFrame:
         """(pos, key, values): an attribute of each match, null where it is missing, or only those that have it."""
         found = select(self.nodes, selector).select("pos", "key", "idx", attribute_value(name).alias("value"))
-        return self._listed(found.where("value is not null") if skip_missing else found)
+        return self._listed(found.where("value is not null") if skip_missing else found, ordered)
 
-    def scan_html(self, selector: Sel, pretty: bool = False) -> DataFrame:
-        return self._listed(self.markup(select(self.nodes, selector), pretty).withColumnRenamed("html", "value"))
+    def scan_html(self, selector: Sel, pretty: bool = False, ordered: bool = True) -> DataFrame:
+        return self._listed(self.markup(select(self.nodes, selector), pretty).withColumnRenamed("html", "value"), ordered)
 
-    def _listed(self, rows: DataFrame) -> DataFrame:
+    def _listed(self, rows: DataFrame, ordered: bool) -> DataFrame:
         own = F.transform(F.sort_array(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"])
-        return rows.groupBy("pos", "key").agg(own.alias("values")).orderBy("pos")
+        return _ordered(rows.groupBy("pos", "key").agg(own.alias("values")), ordered)
 
-    def scan_table(self, selector: Sel, text: bool = False, attrs: Iterable[str] | None = None, meta: Iterable[str] | None = None) -> DataFrame:
-        """A row a match: pos, idx, key, text if asked for, attributes, metadata; ordered by page and place."""
+    def scan_table(self, selector: Sel, text: bool = False, attrs: Iterable[str] | None = None, meta: Iterable[str] | None = None, ordered: bool = True) -> DataFrame:
+        """A row a match: pos, idx, key, text if asked for, attributes, metadata; ordered by page and place unless that isn't asked for."""
         attrs, meta = list(attrs or ()), list(meta or ())
         names = ["pos", "idx", "key", *(["text"] if text else []), *attrs, *meta]
         low = [n.lower() for n in names]
@@ -321,7 +339,7 @@ class Corpus:
         if meta:
             out = out.join(self.docs.select("pos", *(F.col(m).alias(f"_m{i}") for i, m in enumerate(meta))), "pos")
         columns = [*([F.col("_text").alias("text")] if text else []), *(F.col(f"_a{i}").alias(a) for i, a in enumerate(attrs)), *(F.col(f"_m{i}").alias(m) for i, m in enumerate(meta))]
-        return out.select("pos", "idx", "key", *columns).orderBy("pos", "idx")
+        return _ordered(out.select("pos", "idx", "key", *columns), ordered, "pos", "idx")
 
     def diff(self, other: Corpus) -> DataFrame:
         """(pos, key) of other's pages that this corpus has with other content, in other's order."""
@@ -345,21 +363,57 @@ class Corpus:
         return own.limit(first) if first is not None else own
 
 
-def changed_rows(nodes: DataFrame, change) -> DataFrame:
-    def run(table):
-        import pyarrow as pa
+def _ordered(rows: DataFrame, wanted: bool, *by: str) -> DataFrame:
+    return rows.orderBy(*(by or ("pos",))) if wanted else rows
+
 
-        from .ingest import as_batch
+def by_page(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Some columns of nodes, each page's rows together in one task and in order, so that a map over batches can take page after page.
+
+    The row number is there for the distribution and the order that it asks for: in a bucketed corpus both are there already.
+    """
+    return nodes.withColumn("_row", F.row_number().over(Window.partitionBy("pos").orderBy("idx"))).select(*columns, "_row")
+
+
+def pages_of(batches) -> Iterator[list[dict]]:
+    """The rows of each page, from batches of rows in order of page and place."""
+    own: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if own and r["pos"] != own[0]["pos"]:
+                yield own
+                own = []
+            own.append(r)
+    if own:
+        yield own
+
+
+def _batch(pa, rows: list[tuple]):
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    types = (pa.int64(), pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["pos", "key", "idx", "html"])
+
+
+def changed_rows(nodes: DataFrame, change) -> DataFrame:
+    def run(batches):
         from .mutate import Tree
 
-        rows = sorted(table.to_pylist(), key=lambda r: r["idx"])
-        if rows[0]["parse_error"] is not None:
-            return table
-        tree = Tree(linked([as_node(r) for r in rows]))
-        change(tree)
-        return pa.Table.from_batches([as_batch([(rows[0]["pos"], rows[0]["key"], rows_of(tree.rebuilt()), None)])])
+        parsed, size = [], 0
+        for rows in pages_of(batches):
+            error = rows[0]["parse_error"]
+            tree = Tree(linked([as_node(r) for r in rows]))
+            if error is None:
+                change(tree)
+            parsed.append((rows[0]["pos"], rows[0]["key"], rows_of(tree.rebuilt()), error))
+            size += len(rows)
+            if size >= 20_000:
+                yield as_batch(parsed)
+                parsed, size = [], 0
+        if parsed:
+            yield as_batch(parsed)
 
-    return nodes.groupBy("pos").applyInArrow(run, NODES)
+    columns = [c for c in nodes.columns if c not in ("is_std", "n_child_el", "checksum")]
+    return by_page(nodes, columns).mapInArrow(run, NODES)
 
 
 def label():
@@ -388,11 +442,11 @@ def linked(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: Iterable[str] = (), order: str | None = None, base: int = 0, unique: bool = False, **limits) -> Corpus:
+def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: Iterable[str] = (), order: str | None = None, base: int = 0, unique: bool = False, spread: int | None = None, **limits) -> Corpus:
     """Pages of any DataFrame. order: a column of distinct whole numbers that gives pos, plus base; else pages are numbered by key.
 
     Repeated keys: the first by order counts; unique=True promises that there are none. meta: columns to carry, of type string, long, double or
-    boolean.
+    boolean. spread: deal the bodies out into so many parts before they are parsed, for inputs in fewer files than there are cores.
     """
     meta = list(meta)
     if bad := [m for m in meta if m in SYSTEM or pages.schema[m].dataType not in META_TYPES.values()]:
@@ -403,25 +457,21 @@ def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: It
         own = own if unique else first_by_key(own)
     else:
         own = first_of_each(rows.withColumn("_h", F.xxhash64("html")), "_h").drop("_h")
-        own = _numbered(own, "key", base)
-    nodes = parse_rows(own, **limits)
+        own = own.join(_numbered(rows.where("key is not null").select("key").distinct(), base), "key")  # bodies are dealt by key already
+    nodes = parse_rows(own.repartition(spread) if spread else own, **limits)
     docs, extra = docs_of(nodes), own.select("pos", *meta)
     return Corpus(docs.join(extra, "pos") if meta else docs, nodes, lambda n: parse_rows(own.repartition(n, "pos"), **limits), extra)
 
 
-def _numbered(rows: DataFrame, by: str, base: int, parts: int = 256) -> DataFrame:
-    """pos = rank by a column of distinct values, without a window over all rows.
-
-    Up to `parts` - 1 values, picked by a hash, cut the rows into ranges; ranks within those add to a table of their starts.
-    """
-    cuts = sorted(r[0] for r in rows.select(by).orderBy(F.xxhash64(by), by).limit(parts - 1).collect())
-    own = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col(by))) if cuts else F.lit(0)
-    keyed = rows.withColumn("_part", own)
-    sizes = keyed.groupBy("_part").agg(F.count("*").alias("_n"))  # `parts` rows at most, so one task may order them
-    starts = sizes.withColumn("_from", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    placed = keyed.withColumn("_rank", rank).join(F.broadcast(starts.select("_part", "_from")), "_part")
-    return placed.withColumn("pos", F.col("_from") + F.col("_rank") - 1 + base).drop("_part", "_rank", "_from")
+def _numbered(keys: DataFrame, base: int) -> DataFrame:
+    """keys(key), distinct -> (key, pos): pos = rank, plus base. Keys alone are sorted, in ranges, and written with their places in those."""
+    sorted_ = keys.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("_at"))
+    placed = written(sorted_).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range, so one task may order them
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_from"))
+    rank = F.col("_from") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "_part").select("key", (rank + base).alias("pos"))
 
 
 # -- versions on any file system Spark reads

@@ -151,6 +151,16 @@ def first_by_key(pages: DataFrame, order: str = "pos") -> DataFrame:
     return first_of_each(pages, order)
 
 
+def without_keys(pages: DataFrame, known: DataFrame, order: str | None) -> DataFrame:
+    """The pages whose key isn't in known(key). With an order, a column of distinct values, keys alone are dealt out and bodies stay, as in first_by_key."""
+    known = known.select("key")
+    if order is not None:
+        old = pages.select("key", order).join(known, "key", "left_semi").select(order)
+        if old.limit(REPEATS + 1).count() <= REPEATS:
+            return pages.join(F.broadcast(old), order, "left_anti")
+    return pages.join(known, "key", "left_anti")
+
+
 def first_of_each(pages: DataFrame, order: str) -> DataFrame:
     own = Window.partitionBy("key").orderBy(order)
     return pages.where("key is not null").withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")

@@ -107,7 +107,8 @@ class Tree:
     def replace_with(self, x: Item, other: Item) -> None:
         """Move another item into x's place and prune where it came from."""
         source = other.parent
-        self._detach(other)
+        if source is not None:
+            self._detach(other)
         parent, (before, after) = x.parent, x.neighbours()
         at = parent.children.index(x)
         self._detach(x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.compile import attribute_value, select
@@ -84,23 +84,40 @@ def duplicate_titles(corpus: Corpus) -> DataFrame:
     return corpus.texts(first, "title").groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def chunks(corpus: Corpus, most: int = 1200, least: int = 80, skip: str = "nav, header, footer, aside, script, style") -> DataFrame:
-    """(pos, key, chunk, heading, text): passages under their h1-h3, cut before `most` characters, those of `least` or fewer left out."""
+_SKIP = ("nav", "footer", "aside", "header", "form", "script", "style", "noscript")
+_BLOCK = ("p", "li", "pre", "blockquote", "td", "dd")
+_HEADINGS = ("h1", "h2", "h3")
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def chunks(corpus: Corpus, most: int = 1200, least: int = 80, root: str = "main, article, [role='main']", fallback: str = "body") -> DataFrame:
+    """(pos, key, chunk, heading, text): passages under their h1 to h3, for retrieval.
+
+    Of each page the first `root`, or the first `fallback`, is walked by its elements: navigation and the like are passed over, headings
+    start a section, and the texts of blocks (p, li, pre, blockquote, td, dd), taken whole, make it up, joined by spaces. A section of
+    `least` characters or fewer is dropped; longer ones are cut every `most` characters. Text outside of blocks doesn't count.
+    """
     n = corpus.nodes
-    out = select(n, skip).select(F.col("pos").alias("k_pos"), F.col("idx").alias("k_idx"), F.col("end_idx").alias("k_end"))
-    heads = corpus.texts(select(n, "h1, h2, h3").select("pos", "idx", "end_idx", "tag"), "heading").select("pos", F.col("idx").alias("h_idx"), F.col("end_idx").alias("h_end"), "heading")
-    inside = (F.col("pos") == F.col("k_pos")) & (F.col("idx") > F.col("k_idx")) & (F.col("idx") < F.col("k_end"))
-    texts = n.where("kind = 'text' AND NOT raw").select("pos", "key", "idx", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("said")).where("said <> ''").join(out, inside, "left_anti")
-    marks = heads.select("pos", F.lit(None).cast("string").alias("key"), F.col("h_idx").alias("idx"), F.lit(None).cast("string").alias("said"), "heading", "h_end")
-    rows = texts.select("pos", "key", "idx", "said", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("h_end")).union(marks)
-    w = Window.partitionBy("pos").orderBy("idx")
-    rows = rows.withColumn("under", F.last("heading", ignorenulls=True).over(w)).withColumn("section", F.coalesce(F.last(F.when(F.col("heading").isNotNull(), F.col("idx")), ignorenulls=True).over(w), F.lit(0)))
-    rows = rows.withColumn("within", F.last("h_end", ignorenulls=True).over(w)).where("said is not null and (within is null or idx >= within)")
-    so_far = F.sum(F.length("said") + 1).over(Window.partitionBy("pos", "section").orderBy("idx"))
-    parts = rows.withColumn("part", F.floor((so_far - 1) / most))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "said"))), lambda x: x["said"]), " ")
-    made = parts.groupBy("pos", "key", "section", "part").agg(F.first("under").alias("heading"), text.alias("text")).where(F.length("text") > least)
-    return made.withColumn("chunk", F.row_number().over(Window.partitionBy("pos").orderBy("section", "part")) - 1).select("pos", "key", "chunk", "heading", "text")
+    roots = corpus.select_first(root).select("pos", "idx", "end_idx")
+    rest = corpus.select_first(fallback).select("pos", "idx", "end_idx").join(roots.select("pos"), "pos", "left_anti")
+    top = roots.union(rest).toDF("r_pos", "r_idx", "r_end")
+    stops = n.where("kind = 'element'").where(F.col("tag").isin(*_SKIP, *_HEADINGS, *_BLOCK)).select("pos", "key", "idx", "end_idx", "tag")
+    inside = stops.join(top, (F.col("pos") == F.col("r_pos")) & (F.col("idx") > F.col("r_idx")) & (F.col("idx") < F.col("r_end")))
+    order = Window.partitionBy("pos").orderBy("idx")
+    # The walk doesn't enter what it stops at: of nested intervals only the outermost are met.
+    reach = F.max("end_idx").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = inside.withColumn("_reach", reach).where("_reach IS NULL OR idx >= _reach").where(~F.col("tag").isin(*_SKIP)).select("pos", "key", "idx", "end_idx", "tag")
+    said = corpus.texts(met, "said").withColumn("said", stripped(F.col("said"))).withColumn("is_heading", F.col("tag").isin(*_HEADINGS))
+    marked = said.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(order))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_heading") & (F.col("said") != ""), F.struct("idx", "said")))), lambda x: x["said"]), " ")
+    made = marked.groupBy("pos", "key", "section").agg(F.coalesce(F.max(F.when(F.col("is_heading"), F.col("said"))), F.lit("")).alias("heading"), text.alias("whole")).where(F.length("whole") > least)
+    cut = made.select("pos", "key", "section", "heading", "whole", F.explode(F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / most).cast("int"))).alias("part"))
+    place = F.row_number().over(Window.partitionBy("pos").orderBy("section", "part")) - 1
+    return cut.select("pos", "key", place.alias("chunk"), "heading", F.substr("whole", F.col("part") * most + 1, F.lit(most)).alias("text"))
 
 
 def paragraphs(corpus: Corpus, inside: str = "article p, main p", fallback: str = "p", least: int = 40) -> DataFrame:
@@ -113,4 +130,4 @@ def paragraphs(corpus: Corpus, inside: str = "article p, main p", fallback: str
 
 def first_texts(corpus: Corpus, selector: str = "ol li", first: int = 3) -> DataFrame:
     """(pos, key, values): the first texts of a selector on each page."""
-    return corpus.scan_text(selector).withColumn("values", F.slice("values", 1, first))
+    return corpus.scan_text(selector, ordered=False).withColumn("values", F.slice("values", 1, first))

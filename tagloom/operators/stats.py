@@ -50,9 +50,9 @@ def percentiles(pages: DataFrame) -> DataFrame:
     return hit.groupBy("metric", "percentile").agg(F.min(F.least(F.pow(F.lit(2), F.col("bucket")).cast("long") - 1, F.col("max_value"))).alias("bound"))
 
 
-def coverage(pages: DataFrame) -> DataFrame:
-    """One row: pages, and those with more nodes than 15, 16 and 17 bits can number."""
-    return pages.agg(F.count("*").alias("pages"), *(F.count_if(F.col("n_nodes") > 2**b).alias(f"over_2_{b}") for b in (15, 16, 17)))
+def coverage(pages: DataFrame, bits: tuple[int, ...] = (15, 16, 17)) -> DataFrame:
+    """One row: pages, and those with more nodes than so many bits can number."""
+    return pages.agg(F.count("*").alias("pages"), *(F.count_if(F.col("n_nodes") > 2**b).alias(f"over_2_{b}") for b in bits))
 
 
 def shared_symbols(corpus: Corpus, bundle: int = 1000) -> DataFrame:

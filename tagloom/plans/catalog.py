@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import probe as probing
 from ..operators import recipes, stats
+from ..operators.builder import CorpusBuilder
 from ..operators.corpus import Corpus, parse_pages
+from ..operators.document import parse
 from ..operators.filter import Filter
+from ..session import shared_place
+from ..sources import readers, sinks
+from ..sources.warc import WarcSource
+from ..streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def corpus(spark: SparkSession, sf_dir: str, meta: bool = False) -> Corpus:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return parse_pages(pages.withColumn("page", F.col("page_id")) if meta else pages, key="url", html="html", meta=["page"] if meta else [], order="page_id")
+def parsed(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The pages table, parsed where it is asked, with the page's number as metadata. It is one file, so its bodies are dealt to all cores."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("page", F.col("page_id"))
+    return parse_pages(pages, key="url", html="html", meta=["page"], order="page_id", spread=spark.sparkContext.defaultParallelism)
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str, str], Corpus]) -> Corpus:
+    """A corpus that make(spark, sf_dir, path) writes once a session and that all queries then open."""
+    known = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+    if known not in _STORED:
+        path = shared_place(spark)
+        make(spark, sf_dir, path)
+        _STORED[known] = path
+    return Corpus.open(spark, _STORED[known])
+
+
+def written_pages(spark: SparkSession, sf_dir: str, path: str) -> Corpus:
+    return parsed(spark, sf_dir).write(path)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The pages table as a stored corpus."""
+    return stored(spark, sf_dir, written_pages)
 
 
 def _query(sql: str | None = None):
@@ -65,7 +95,7 @@ def links_table(spark, sf_dir):
 
 @_query(f"SELECT url AS key, {_plain('unnest(' + _LINKS + ')')} AS text, unnest({_HREFS}) AS href, page_id AS page FROM pages")
 def table_with_text_and_meta(spark, sf_dir):
-    return corpus(spark, sf_dir, meta=True).scan_table("a[href]", text=True, attrs=["href"], meta=["page"]).select("key", "text", "href", "page")
+    return corpus(spark, sf_dir).scan_table("a[href]", text=True, attrs=["href"], meta=["page"]).select("key", "text", "href", "page")
 
 
 @_query("SELECT CAST(sum(len(regexp_extract_all(html, '<h[123]>'))) AS BIGINT) AS n FROM pages")
@@ -184,7 +214,7 @@ def title_changes(spark, sf_dir):
 
 @_query("SELECT url AS key, page_id AS page FROM pages")
 def meta_table(spark, sf_dir):
-    return corpus(spark, sf_dir, meta=True).meta_table().select("key", "page")
+    return corpus(spark, sf_dir).meta_table().select("key", "page")
 
 
 @_query("SELECT page_id AS pos, url AS key FROM pages")
@@ -217,11 +247,6 @@ def duplicate_titles(spark, sf_dir):
     return recipes.duplicate_titles(corpus(spark, sf_dir))
 
 
-@_query("SELECT url AS key FROM pages WHERE html NOT LIKE '%<h2>%'")
-def missing_second_heading(spark, sf_dir):
-    return recipes.missing(corpus(spark, sf_dir), "h2").select("key")
-
-
 @_query(f"SELECT CAST(sum(len({_HREFS})) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all(html, '<p>'))) AS BIGINT) AS paragraphs FROM pages")
 def totals(spark, sf_dir):
     return recipes.totals(corpus(spark, sf_dir), {"links": "a[href]", "paragraphs": "p"})
@@ -232,16 +257,6 @@ def first_items(spark, sf_dir):
     return recipes.first_texts(corpus(spark, sf_dir), "ul li").select("key", F.array_join("values", "|").alias("texts"))
 
 
-@_query("SELECT count(*) AS pages, CAST(0 AS BIGINT) AS over_2_15, CAST(0 AS BIGINT) AS over_2_16, CAST(0 AS BIGINT) AS over_2_17 FROM pages")
-def node_coverage(spark, sf_dir):
-    return stats.coverage(stats.per_page(corpus(spark, sf_dir)))
-
-
-@_query("SELECT count(*) AS pages, CAST(0 AS BIGINT) AS with_json_ld, CAST(0 AS DOUBLE) AS share FROM pages")
-def json_ld_share(spark, sf_dir):
-    return recipes.json_ld_share(corpus(spark, sf_dir))
-
-
 def _lifted(tree) -> None:
     """Head cleaned, navigation and advertisements gone, the article in the body's own place."""
     for css in ("script, style", "nav, footer, div.ad"):
@@ -258,16 +273,6 @@ def lifted_articles(spark, sf_dir):
     return counts.join(c.select_counts("body > h1").select("key", F.col("n").alias("top_headings")), "key")
 
 
-@_query()
-def stats_histogram(spark, sf_dir):
-    return stats.histogram(stats.per_page(corpus(spark, sf_dir)))
-
-
-@_query()
-def stats_percentiles(spark, sf_dir):
-    return stats.percentiles(stats.per_page(corpus(spark, sf_dir)))
-
-
 @_query("""
 SELECT page_id // 1000 AS bundle, CAST(1 AS INTEGER) AS rank, 'ad' AS symbol, count(*) AS pages, (count(*) - 1) * 2 AS gain, CAST((count(*) - 1) * 2 AS BIGINT) AS covered
 FROM pages WHERE html LIKE '%<div class="ad">%' GROUP BY 1
@@ -276,16 +281,6 @@ def shared_symbols(spark, sf_dir):
     return stats.shared_symbols(corpus(spark, sf_dir))
 
 
-@_query()
-def raw_html(spark, sf_dir):
-    return corpus(spark, sf_dir).html()
-
-
-@_query()
-def pretty_html(spark, sf_dir):
-    return corpus(spark, sf_dir).html(pretty=True)
-
-
 @_query("SELECT true AS same, count(*) AS n FROM pages")
 def round_trip(spark, sf_dir):
     """Whether the markup that is written for a page has the page's own tree."""
@@ -301,16 +296,6 @@ def css_paths(spark, sf_dir):
     return c.css_paths(c.select("li a")).groupBy("key", "css_path").agg(F.count("*").alias("n"))
 
 
-@_query()
-def chunks(spark, sf_dir):
-    return recipes.chunks(corpus(spark, sf_dir))
-
-
-@_query()
-def main_paragraphs(spark, sf_dir):
-    return recipes.paragraphs(corpus(spark, sf_dir))
-
-
 def _pages_with(spark, sf_dir, html) -> Corpus:
     return parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", html), key="url", html="html", order="page_id", unique=True)
 
@@ -335,6 +320,101 @@ def json_ld_types(spark, sf_dir):
     return recipes.json_ld_types(_pages_with(spark, sf_dir, F.concat("html", F.lit('<script type="application/ld+json">'), said, F.lit("</script>"))))
 
 
+@_query("SELECT 'p' || page_id || '.html' AS key, len(regexp_extract_all(html, '<p>')) AS n FROM pages WHERE html LIKE '%<p>%'")
+def source_folder(spark, sf_dir):
+    """Pages written to files, read as a folder, with the files' paths as keys."""
+    path = shared_place(spark)
+    sinks.write_html(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), "page_id").alias("key"), "html"), path)
+    return parse_pages(readers.source(spark, path)).select_counts("p").select("key", "n")
+
+
+@_query("SELECT rank() OVER (ORDER BY 'p' || page_id) - 1 AS pos, 'p' || page_id AS key FROM pages")
+def folder_order(spark, sf_dir):
+    """A folder has no order of its own: pages are numbered by key, the file's stem."""
+    path = shared_place(spark)
+    sinks.write_html(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("p"), "page_id").alias("key"), "html"), path)
+    return readers.open_any(spark, path).keys()
+
+
+def written_crawl(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """WARC files of the pages in three encodings, told by the header, by the page, or not at all; a later file has every fifth page again, changed."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").repartitionByRange(3, "page_id").sortWithinPartitions("page_id")
+    kind = F.col("page_id") % 3
+    named = F.replace("html", F.lit('charset="utf-8"'), F.lit('charset="windows-1252"'))
+    content = F.when(kind == 1, F.encode("html", "ISO-8859-1")).when(kind == 2, F.encode(named, "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    own = pages.select(
+        "page_id", F.col("url").alias("key"), content.alias("content"), F.when(kind == 1, "text/html; charset=iso-8859-1").otherwise("text/html").alias("content_type"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("fetched"), F.when(F.col("page_id") % 4 == 3, 404).otherwise(200).alias("status"),
+    )
+    sinks.write_warc(own, path)
+    sinks.write_warc(own.where("page_id % 5 = 0").withColumn("content", F.encode(F.lit("<title>late</title>"), "UTF-8")), path, "zlate")
+
+
+def crawl(spark: SparkSession, sf_dir: str) -> str:
+    known = (spark.sparkContext.applicationId, sf_dir, "crawl")
+    if known not in _STORED:
+        _STORED[known] = shared_place(spark)
+        written_crawl(spark, sf_dir, _STORED[known])
+    return _STORED[known]
+
+
+@_query(f"""
+SELECT url AS key, {_plain("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS fetched,
+  CAST(CASE WHEN page_id % 4 = 3 THEN 404 ELSE 200 END AS BIGINT) AS status, rank() OVER (ORDER BY page_id) - 1 AS place FROM pages
+""")
+def source_warc(spark, sf_dir):
+    """A crawl read in source order, decoded, stored with the records' metadata; of repeated addresses the first counts."""
+    pages = readers.warc(spark, crawl(spark, sf_dir))
+    c = parse_pages(pages, meta=["fetched", "status"], order="at", unique=True).write(shared_place(spark))
+    place = (F.row_number().over(Window.orderBy("pos")) - 1).cast("long")  # a few hundred rows, to compare with SQL
+    return c.scan_table("head > title", text=True, meta=["fetched", "status"], ordered=False).select("key", F.col("text").alias("title"), "fetched", "status", place.alias("place"))
+
+
+@_query("""
+SELECT 'limit' AS part, url AS key FROM pages WHERE page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 7)
+UNION ALL SELECT 'listed', url FROM pages WHERE page_id % 50 = 1 UNION ALL SELECT 'collapsed', CAST(count(*) AS VARCHAR) FROM pages WHERE page_id % 5 = 0
+""")
+def source_parts(spark, sf_dir):
+    """The first records of a crawl, those of a list of keys, and how many were repeats."""
+    path = crawl(spark, sf_dir)
+    listed = [r[0] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 50 = 1").select("url").collect()]
+    spark.dataSource.register(WarcSource)
+    counts = readers.tally(readers.warc(spark, path), spark.read.format("tagloom_warc").load(path))
+    own = {"limit": readers.warc(spark, path, limit=7).select("key"), "listed": readers.source(spark, path, "warc", keys=[*listed, "nowhere"]).select("key"), "collapsed": counts.select(F.col("collapsed").cast("string"))}
+    return reduce(DataFrame.union, (rows.select(F.lit(part).alias("part"), rows.columns[0]).toDF("part", "key") for part, rows in own.items()))
+
+
+@_query(f"SELECT url AS key, len({_HREFS}) AS n FROM pages WHERE len({_HREFS}) > 0")
+def streamed_pages(spark, sf_dir):
+    """The pages table as a stream that is appended to a corpus."""
+    path = shared_place(spark)
+    pages = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    streaming.append_stream(pages, f"{path}/corpus", f"{path}/checkpoint", key="url").awaitTermination()
+    return Corpus.open(spark, f"{path}/corpus").select_counts("a[href]").select("key", "n")
+
+
+@_query("""
+SELECT rank() OVER (ORDER BY page_id) - 1 AS pos, url AS key, page_id AS page, regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, NULL AS skipped FROM pages WHERE page_id < 30
+UNION ALL SELECT 30 + rank() OVER (ORDER BY page_id), url, page_id, regexp_extract(html, '<html lang="([a-z]*)"', 1), NULL FROM pages WHERE page_id BETWEEN 30 AND 39
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'deep'
+""")
+def built_pages(spark, sf_dir):
+    """Pages added by hand, one of them too deep and skipped, some twice; more are added to the stored corpus later."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 40").orderBy("page_id").collect()
+    path = shared_place(spark)
+    with CorpusBuilder(spark, path, on_error="skip", meta_schema={"page": int}) as b:
+        for r in rows[:30]:
+            b.add(r["url"], r["html"], meta={"page": r["page_id"]})
+        b.add("deep", "<b>" * 9000)
+        b.add(rows[3]["url"], "<p>late", meta={"page": 0})
+    with CorpusBuilder.onto(spark, path) as more:
+        more.add(rows[0]["url"], "<p>late", meta={"page": 0})
+        for r in rows[30:]:
+            more.add_document(r["url"], parse(r["html"]), meta={"page": r["page_id"]})
+    out = Corpus.open(spark, path).scan_table("html", attrs=["lang"], meta=["page"], ordered=False).select("pos", "key", "page", "lang", F.lit(None).cast("string").alias("skipped"))
+    return out.union(spark.createDataFrame([(None, None, None, None, k) for k in b.skipped], out.schema))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -101,31 +101,37 @@ def is_local(x: tuple | Complex | Compound) -> bool:
     return all(a.name != "text" for a in x.attributes) and all(p.name != "has" and is_local(p.inner) for p in x.pseudos)
 
 
-def _all(columns: list[Column]) -> Column:
-    # A missing id or attribute is null: it must say no before anything negates it.
-    return reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in columns))
-
-
-def local_column(c: Compound) -> Column:
-    """What of a compound one row can say, cheap and pushable conjuncts first."""
-    own = [F.col("kind") == "element"]
-    if c.tag:
-        own.append(F.col("tag") == c.tag)
+def _tests(c: Compound) -> list[Column]:
+    """Conjuncts on an element's row, cheap and pushable ones first. Null means no; where one is negated, null is made false first."""
+    own = [F.col("tag") == c.tag] if c.tag else []
     own += [F.col("id") == i for i in c.ids]
     own += [F.array_contains("classes", x) for x in c.classes]
-    rest = [_attribute(a) for a in c.attributes if a.name != "text"]
+    own += [_attribute(a) for a in c.attributes if a.name != "text"]
     for p in c.pseudos:
         if not p.inner:
-            rest.append(_static(p))
+            own.append(_static(p))
         elif p.name != "has" and is_local(p.inner):
-            inner = local_list(p.inner)
-            rest.append(~inner if p.name == "not" else inner)
-    plain = reduce(lambda a, b: a & b, own)
-    return plain & _all(rest) if rest else plain
+            inner = _any(p.inner)
+            own.append(~F.coalesce(inner, F.lit(False)) if p.name == "not" else inner)
+    return own
+
+
+def _any(alternatives: tuple[Complex, ...]) -> Column:
+    """Whether an element's row matches one of them: plain types as one IN, which Parquet takes."""
+    own = [_tests(x.compounds[0]) for x in alternatives]
+    types = [x.compounds[0].tag for x, tests in zip(alternatives, own, strict=True) if x.compounds[0].tag and len(tests) == 1]
+    rest = [reduce(lambda a, b: a & b, t or [F.lit(True)]) for x, t in zip(alternatives, own, strict=True) if not (x.compounds[0].tag and len(t) == 1)]
+    plain = [F.col("tag").isin(types) if len(types) > 1 else F.col("tag") == types[0]] if types else []
+    return reduce(lambda a, b: a | b, plain + rest)
+
+
+def local_column(c: Compound) -> Column:
+    """What of a compound one row can say."""
+    return reduce(lambda a, b: a & b, [F.col("kind") == "element", *_tests(c)])
 
 
 def local_list(alternatives: tuple[Complex, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.coalesce(local_column(c.compounds[0]), F.lit(False)) for c in alternatives))
+    return (F.col("kind") == "element") & _any(alternatives)
 
 
 def _with_text(nodes: DataFrame, candidates: DataFrame, a: Attribute) -> DataFrame:

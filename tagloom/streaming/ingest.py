@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.corpus import Corpus, parse_pages
 
 
-def append_stream(pages: DataFrame, path: str, checkpoint: str, key: str = "key", html: str = "html", meta: Iterable[str] = (), **trigger) -> StreamingQuery:
+def append_stream(pages: DataFrame, path: str, checkpoint: str, key: str = "key", html: str = "html", meta: Iterable[str] = (), most_segments: int = 64, **trigger) -> StreamingQuery:
     """Each micro-batch of a streaming DataFrame is appended to the corpus at path, which is made by the first.
 
     Keys that the corpus has are skipped, so a batch that is run again after a failure changes nothing. Pages that can't be parsed are
-    left out. State is the corpus itself: no watermark, no bound on how late a repeated key is recognized.
+    left out. A corpus of more than most_segments segments is compacted; the old ones stay for readers until Corpus.vacuum. State is the corpus itself: no watermark, no bound on how late a repeated key is recognized.
     """
     meta = list(meta)
 
@@ -24,6 +24,8 @@ def append_stream(pages: DataFrame, path: str, checkpoint: str, key: str = "key"
         current = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
         if current.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(current):
             Corpus.open(spark, path).append(path, batch, key, html, meta, on_error="skip")
+            if Corpus.segments(spark, path) > most_segments:
+                Corpus.compact(spark, path)
         else:
             parse_pages(batch, key, html, meta).write(path)
 

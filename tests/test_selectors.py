@@ -150,3 +150,20 @@ def test_strict_and_source():
         parse_selector("[a=b]", strict=True)
     assert Selector("a  >  b").source == "a  >  b" and parse_selector("a>b") == parse_selector("a > b")
     assert parse_selector("#a#a") == parse_selector("#a#a")
+
+
+def _pushed(spark, nodes, selector):
+    from tagloom.plans.compile import select
+
+    plan = select(nodes, selector)._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PushedFilters") :].split("\n")[0]
+
+
+def test_types_and_lists_reach_the_scan(spark, tmp_path):
+    from tagloom.operators.corpus import Corpus, parse_pages
+
+    parse_pages(spark.createDataFrame([("a", "<h1 id=x>b</h1><p>c")], "key string, html string")).write(str(tmp_path / "c"))
+    nodes = Corpus.open(spark, str(tmp_path / "c")).nodes
+    assert "In(tag, [h1,h2,h3])" in _pushed(spark, nodes, "h1, h2, h3") and "EqualTo(kind,element)" in _pushed(spark, nodes, "h1, h2, h3")
+    assert "IsNotNull(id)" in _pushed(spark, nodes, "h1#x") and "EqualTo(tag,h1), EqualTo(" in _pushed(spark, nodes, "h1#x")
+    assert "Or(" in _pushed(spark, nodes, "h1, #x")
