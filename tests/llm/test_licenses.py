@@ -44,3 +44,14 @@ def test_odd_rows(spark):
     got = collected(licenses.scan(documents(spark, odd_rows())))
     assert sorted([(r["doc_id"], *(r[c] for c in COLUMNS)) for r in got], key=str) == sorted([(i, *brute(t)) for i, t in odd_rows()], key=str)
     assert collected(licenses.scan(documents(spark, []))) == []
+
+
+def test_names_that_are_repeated_and_long_texts(spark, monkeypatch):
+    """A label doesn't get lost where its name is repeated, nor at the seams of a text that is split in stretches."""
+    texts = ["isc license " * n for n in range(1, 6)] + ["bsd license " * 4 + "mozilla public license " * 3, "cc by cc by cc by nc", "BSD license of bsd license", "isc. x license", "mozilla " * 9 + "public license"]
+    want = [("isc", 1.0)] * 5 + [("bsd,mpl", 1.0), ("cc-by,cc-by-nc", 1.0), ("bsd", 1.0), ("", 0.0), ("mpl", 1.0)]
+    for stretch in (1 << 22, 7):
+        monkeypatch.setattr(licenses, "STRETCH", stretch)
+        got = {r["doc_id"]: r for r in collected(licenses.scan(documents(spark, list(enumerate(texts)))))}
+        assert [(got[i]["labels"], got[i]["score"]) for i in range(len(texts))] == want
+        assert all(tuple(got[i][c] for c in COLUMNS) == brute(t) for i, t in enumerate(texts))
