@@ -2,7 +2,8 @@
 
 Pivots cut the vectors into cells. A summary of each cell, its radius and its vectors nearest the pivot, bounds the scores that
 any query has there: q.p - |q| d <= q.x <= q.p + |q| d for x at distance d from pivot p. A query goes only to cells whose
-upper bound reaches what the summaries already promise it; there it is solved locally, and local results are merged.
+upper bound reaches what the summaries already promise it, and a cell's data only to the parts of queries that it can matter to;
+there they are solved locally, and local results are merged.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ._common import mapped, written
 
 ROWS, QUERIES = 8192, 4096  # of a cell's rows and of its queries, about so many meet in a task's memory at once
+CHUNK = 256  # vectors that are held against all pivots at once
 
 
 def scaled(vector: Column) -> Column:
@@ -53,8 +55,7 @@ class Cells:
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell of each row and an upper bound of its distance to the pivot."""
         p = self.of(x.shape[1])
-        square = (x**2).sum(axis=1)[:, None] - 2 * (x @ p.T) + (p**2).sum(axis=1)
-        cell = square.argmin(axis=1)
+        cell = np.concatenate([((p**2).sum(axis=1) - 2 * (x[at : at + CHUNK] @ p.T)).argmin(axis=1) for at in range(0, len(x), CHUNK)])
         return cell, np.sqrt(((x - p[cell]) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-6
 
 
@@ -65,7 +66,40 @@ def _by_dim(vectors: list[np.ndarray]) -> dict[int, list[int]]:
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 256) -> DataFrame:
+def query_parts(cells: Cells, asked: dict[tuple[int, int], int]) -> dict[tuple[int, int], tuple[int, int]]:
+    """(dimension, cell) -> (first part, number of parts) of the queries that lie in it; asked: queries by (dimension, cell).
+
+    Parts hold about QUERIES queries of cells that are near each other, along the main axis of the pivots, so that they need much
+    the same data; a cell with more queries than that has parts of its own.
+    """
+    out, part = {}, 0
+    for d in sorted({d for d, _ in asked}):
+        own = np.array([c for e, c in asked if e == d and asked[e, c]], np.int64)
+        p = cells.of(d)[own]
+        axis = np.linalg.svd(p - p.mean(axis=0), full_matrices=False)[2][0] if d and len(own) > 1 else np.zeros(d)
+        room = 0
+        for c in own[np.argsort(p @ axis, kind="stable")].tolist():
+            n = asked[d, c]
+            if n > QUERIES:
+                many = -(-n // QUERIES)
+                out[d, c], part, room = (part + 1, many), part + many, 0
+                continue
+            if n > room:
+                part, room = part + 1, QUERIES
+            out[d, c], room = (part, 1), room - n
+        part += 1
+    return out
+
+
+def placements(placed: DataFrame, sent: DataFrame, counts: DataFrame) -> DataFrame:
+    """(vec_id, v, dim, cell, block, part): each row once for each part of queries of which one at least may need its cell, and not at all if none does."""
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    need = sent.select("dim", "cell", "part").distinct().join(counts, ["dim", "cell"]).select("dim", "cell", "part", every)
+    block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block")
+    return placed.join(counts, ["dim", "cell"]).select("vec_id", "v", "dim", "cell", block).join(need, ["dim", "cell", "block"])
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 4096) -> DataFrame:
     """vectors(vec_id long, v array<long>) -> (query_id, rank, vec_id, score): each query's k highest inner products, ties to the lesser vec_id.
 
     Queries are rows of vectors too and don't meet themselves. Null ids and null vectors, or with a null component, take no
@@ -96,8 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 2
     summary = near.groupBy("dim", "cell").agg(F.slice(F.sort_array(F.collect_list("far")), 1, k + 1).alias("nearest"))
     sizes = placed.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"), F.count_if(is_query).alias("q"))
     table = {(r["dim"], r["cell"]): r for r in sizes.join(summary, ["dim", "cell"]).collect()}  # a row a cell
-    asked = sum(r["q"] for r in table.values())
-    q_blocks = max(1, -(-asked // QUERIES))
+    parts = query_parts(cells, {at: r["q"] for at, r in table.items()})
     own_cells = {d: np.array(sorted(c for e, c in table if e == d)) for d in {d for d, _ in table}}
     radius = {d: np.array([table[d, c]["radius"] for c in cs]) for d, cs in own_cells.items()}
     promised = {d: (np.repeat(np.arange(len(cs)), [len(table[d, c]["nearest"]) for c in cs]), np.concatenate([table[d, c]["nearest"] for c in cs])) for d, cs in own_cells.items()}
@@ -105,33 +138,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 2
 
     def sending():
         def each(batch: pa.RecordBatch) -> dict:
-            own, ids = _ints(batch.column("v")), batch.column("vec_id").to_pylist()
-            row, to, block = [], [], []
-            for d, rows in _by_dim(own).items():
-                q = np.array([own[i] for i in rows], np.float64)
-                to_pivot, size = q @ cells.of(d)[own_cells[d]].T, np.sqrt((q**2).sum(axis=1))[:, None] * (1 + 1e-9)
+            own, ids, home = _ints(batch.column("v")), batch.column("vec_id").to_pylist(), batch.column("cell").to_pylist()
+            row, to = [], []
+            for d, every in _by_dim(own).items():
                 at, far = promised[d]
-                least = np.sort(to_pivot[:, at] - size * far, axis=1)[:, ::-1]
-                bar = least[:, k] if least.shape[1] > k else np.full(len(q), -np.inf)  # the k + 1 best promises leave k without the query
-                slack = 1e-3 + 1e-9 * (size[:, 0] + 1) * (np.abs(to_pivot).max(axis=1) + 1)
-                for i, c in zip(*np.nonzero(to_pivot + size * radius[d] >= (bar - slack)[:, None]), strict=True):
-                    for b in range(blocks[d][c]):
-                        row.append(rows[i])
-                        to.append(own_cells[d][c])
-                        block.append(b)
-            return {
-                "query_id": pa.array([ids[i] for i in row], pa.int64()), "v": batch.column("v").take(pa.array(row, pa.int64())), "dim": pa.array([len(own[i]) for i in row], pa.int32()),
-                "cell": pa.array(to, pa.int32()), "block": pa.array(block, pa.int32()),
-            }
+                for lo in range(0, len(every), CHUNK):
+                    rows = every[lo : lo + CHUNK]
+                    q = np.array([own[i] for i in rows], np.float64)
+                    to_pivot, size = q @ cells.of(d)[own_cells[d]].T, np.sqrt((q**2).sum(axis=1))[:, None] * (1 + 1e-9)
+                    least = to_pivot[:, at] - size * far
+                    m = least.shape[1] - k - 1  # the k + 1 best promises leave k without the query
+                    bar = np.partition(least, m, axis=1)[:, m] if m >= 0 else np.full(len(q), -np.inf)
+                    slack = 1e-3 + 1e-9 * (size[:, 0] + 1) * (np.abs(to_pivot).max(axis=1) + 1)
+                    i, c = np.nonzero(to_pivot + size * radius[d] >= (bar - slack)[:, None])
+                    row += [rows[x] for x in i.tolist()]
+                    to += own_cells[d][c].tolist()
+            part = []
+            for i in row:
+                first, n = parts[len(own[i]), home[i]]
+                part.append(first + (ids[i] * 0x9E3779B97F4A7C15 >> 20) % n)
+            return {"query_id": pa.array([ids[i] for i in row], pa.int64()), "dim": pa.array([len(own[i]) for i in row], pa.int32()), "cell": pa.array(to, pa.int32()), "part": pa.array(part, pa.int32())}
 
         return each
 
-    queries = mapped(placed.where(is_query).select("vec_id", "v"), "query_id long, v array<long>, dim int, cell int, block int", sending)
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-    counts = placed.sparkSession.createDataFrame([(d, int(c), int(b)) for d, cs in own_cells.items() for c, b in zip(cs, blocks[d], strict=True)] or [(0, 0, 1)], "dim int, cell int, blocks int")
-    data = placed.join(F.broadcast(counts), ["dim", "cell"]).select(
-        "vec_id", "v", "dim", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part")
-    )
+    asking = placed.where(is_query)
+    sent = written(mapped(asking.select("vec_id", "v", "cell"), "query_id long, dim int, cell int, part int", sending))
+    rows = [(d, int(c), int(b)) for d, cs in own_cells.items() for c, b in zip(cs, blocks[d], strict=True)] or [(0, 0, 1)]
+    counts = F.broadcast(placed.sparkSession.createDataFrame(rows, "dim int, cell int, blocks int"))  # a row a cell
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    queries = sent.join(asking.select(F.col("vec_id").alias("query_id"), "v"), "query_id").join(counts, ["dim", "cell"]).select("query_id", "v", "dim", "cell", "part", every)
+    queries = queries.toDF(*queries.columns)  # columns of its own: both sides come from the same tables
+    data = placements(placed, sent, counts).toDF("dim", "cell", "block", "vec_id", "v", "part")
 
     def solve(left, right):
         ids, x = right.column("vec_id").to_numpy(), right.column("v").combine_chunks()

@@ -118,6 +118,10 @@ class Classifier:
         odds = np.exp(12 * (cosines - cosines[best]))
         return self.names[best], float(1 / odds.sum()), along / size
 
+    def has_letter(self, text: str | None) -> bool:
+        self.encoder = self.encoder or Encoder()
+        return len(self.encoder.trigrams(text)[0]) > 0
+
     def __getstate__(self):
         return self.__dict__ | {"encoder": None}
 
@@ -146,10 +150,13 @@ def predicted(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def kept(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """The rows of docs, with all their columns, whose language can be told: all but those with lang_pred und."""
+    """The rows of docs, with all their columns, whose language can be told: all but those whose text is null or has no letter.
+
+    With nothing learned no language can be named, which says nothing of the texts: those with a letter stay all the same.
+    """
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([classifier.predict(x.as_py())[0] != UND for x in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([classifier.predict(x.as_py())[0] != UND or classifier.has_letter(x.as_py()) for x in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

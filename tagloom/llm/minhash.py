@@ -16,6 +16,7 @@ from .graph import components
 
 P = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 256
+BYTES = 32 << 20  # of sets, about so many of a block's members and as many of its queried ones are in a task's memory at once
 
 
 def shingle_hashes(text: str | None, k: int, cache: dict) -> np.ndarray:
@@ -125,13 +126,13 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return mapped(pairs, "a long, b long", make)
 
 
-def block_links(rows: list[tuple[int, int, bool, bytes]], percent: int) -> list[tuple[int, int]]:
+def block_links(rows: list[tuple[int, int, bool, pa.Buffer | bytes]], percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, as a spanning forest. rows: (rep, component, queried, hashes).
 
     Only pairs with one queried member at least are compared: the others are members of one component already. Overlaps of
     a slice of members come from one matrix product over the shingles that they share, so memory depends on the slice.
     """
-    rows = sorted(set(rows))
+    rows = [v for _, v in sorted({r[:3]: r for r in rows}.items())]
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
     root: dict[int, int] = {}
@@ -181,8 +182,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Copies (equal sets) meet in an aggregate first and only the least doc_id goes on. In each band group, all members are
     compared with its least member: as many rows as members. What that leaves open, pairs of members in different
-    components, is then compared in blocks, of which a task holds a bounded number of rows; no pair is left out and none
-    is written out unless it joins two components.
+    components, is then compared in blocks, of which a task holds a bounded number of rows and bytes; of bands with the same
+    members one counts. No pair is left out and none is written out unless it joins two components.
 
     Null, empty and wordless texts: an empty set, linked with nothing. Fewer than k words: one shingle of them all. A null
     doc_id: component_id null, kept true, linked with nothing. Rows that share a doc_id count as one document. Other columns of docs are
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
     # One row of each set: its copies never reach the bands.
-    first = known.select(F.col("doc_id").alias("rep"), "keys").join(reps.select("rep"), "rep", "left_semi")
-    banded = first.select("rep", F.explode("keys").alias("key"))
+    first = known.select(F.col("doc_id").alias("rep"), "n_shingles", "keys").join(reps.select("rep"), "rep", "left_semi")
+    banded = first.select("rep", (8 * F.col("n_shingles")).alias("size"), F.explode("keys").alias("key"))
     groups = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot < other")
     members = written(banded.join(groups.select("key", "pivot"), "key").where("rep <> pivot"))
     pairs = written(members.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
@@ -208,20 +209,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # Open: band groups whose members, the pivot aside, are in several components.
     placed = written(
         members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        .select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
     )
-    sized = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    who = [F.sum(F.xxhash64(F.lit(i), "rep").cast("decimal(20,0)")).alias(f"w{i}") for i in (0, 1)]
+    sized = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("b"), *who)
     open_ = (
         sized.groupBy("key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+        .agg(
+            F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.max("n").alias("n_main"), F.max_by("b", F.struct("n", "component")).alias("b_main"),
+            F.sum("n").alias("n_all"), F.sum("b").alias("b_all"), F.sum("w0").alias("w0"), F.sum("w1").alias("w1"),
+        )
         .where("parts > 1")
-    )
+    )
+    # Of bands that brought the same members together, one: near documents share many bands, and would be compared in each.
+    open_ = open_.join(open_.groupBy("w0", "w1", "n_all").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
     unsolved = written(
         placed.join(open_, "key").select(
             "key", "rep", "component",
             (F.col("component") != F.col("main")).alias("queried"),
-            F.ceil(F.col("n_all") / (16 * BLOCK)).cast("int").alias("blocks"),
-            F.ceil((F.col("n_all") - F.col("n_main")) / (4 * BLOCK)).cast("int").alias("q_blocks"),
+            F.ceil(F.greatest(F.col("n_all") / (16 * BLOCK), F.col("b_all") / BYTES)).cast("int").alias("blocks"),
+            F.ceil(F.greatest((F.col("n_all") - F.col("n_main")) / (4 * BLOCK), (F.col("b_all") - F.col("b_main")) / BYTES)).cast("int").alias("q_blocks"),
         )
     )
     if not unsolved.isEmpty():
@@ -237,7 +244,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         units = as_member.union(as_query).join(sets, "rep")
 
         def solve(table):
-            got = block_links(list(zip(*(table.column(c).to_pylist() for c in ("rep", "component", "queried", "hashes")), strict=True)), percent)
+            hashes = [x.as_buffer() for x in table.column("hashes")]  # views of the batch, not copies
+            got = block_links(list(zip(*(table.column(c).to_pylist() for c in ("rep", "component", "queried")), hashes, strict=True)), percent)
             return pa.table({"a": pa.array([x[0] for x in got], pa.int64()), "b": pa.array([x[1] for x in got], pa.int64())})
 
         more = written(units.groupBy("key", "i", "j").applyInArrow(solve, "a long, b long"))

@@ -51,3 +51,28 @@ def test_scaling_and_what_takes_no_part(spark):
     rows = [(1, [0.5, -0.001]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0])]
     got = collected(spark.createDataFrame(rows, "vec_id long, e array<float>").select("vec_id", knn.scaled(F.col("e")).alias("v")))
     assert [r["v"] for r in got] == [[128, -1], None, None, None, None]
+
+
+def test_data_go_where_bounds_reach(spark, monkeypatch):
+    """Far clusters: each part of queries gets the few cells near it, not all rows, though there are many parts."""
+    monkeypatch.setattr(knn, "QUERIES", 8)
+    rng = random.Random(5)
+    rows = [(i, [(20_000 if j == i % 8 else 0) + rng.randrange(9) for j in range(8)]) for i in range(800)]
+    copies = {}
+
+    def counted(placed, sent, counts, real=knn.placements):
+        out = real(placed, sent, counts)
+        copies["rows"], copies["parts"] = out.count(), sent.select("part").distinct().count()
+        return out
+
+    monkeypatch.setattr(knn, "placements", counted)
+    assert asked(spark, rows) == brute(rows)
+    assert copies["parts"] >= 160 // 8 and copies["rows"] < len(rows) * copies["parts"] / 3
+
+
+def test_parts_of_queries():
+    cells = knn.Cells([[i * 10, 0] for i in range(1, 30)])
+    own = knn.query_parts(cells, {(2, c): n for c, n in [(1, 10), (2, 4096), (3, 0), (4, 9000), (5, 7), (29, 1)]} | {(0, 0): 3})
+    assert (2, 3) not in own and own[2, 4][1] == 3 and all(n == 1 for at, (_, n) in own.items() if at != (2, 4))
+    spans = [set(range(first, first + n)) for at, (first, n) in own.items() if at in ((2, 4), (2, 2), (0, 0))]
+    assert all(not a & b for i, a in enumerate(spans) for b in spans[:i])
