@@ -195,7 +195,12 @@ def labelled(docs: DataFrame, labels: DataFrame, learns: Column, most: int) -> D
 
 
 def learned(docs: DataFrame, labels: DataFrame, learns: Column, most: int = 5000, patterns: int = 400) -> Grammar:
-    """A grammar fitted on a bounded sample: `most` documents of each class, `patterns` entries in the lexicon."""
+    """A grammar fitted on a bounded sample: `most` documents of each class, `patterns` entries in the lexicon.
+
+    Of the sample, documents that told_apart() takes for copies count once. Features weighed on the driver are those of at least four
+    toxic documents and LEAST_WEIGHT, the 50 * patterns in most toxic documents; rarer ones are not learned. All of these bound the
+    fit alone: every text is scored whole.
+    """
     from ._common import dropped, written
 
     sampled = written(labelled(docs, labels, learns, most))
