@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses: insult, threat, target, negation and reported-speech transducers.
 
 Learned from labelled rows: the insult lexicon (words and word beginnings with their log-odds) and the weight of each pattern
-that the composed transducers can accept. Fixed: the closed word classes below and the grammar itself.
+that the composed transducers can accept. Fixed: the closed word classes below and the machines themselves.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ NEGATION = frozenset("not no never neither nor isn't aren't wasn't don't doesn't
 TARGET = frozenset("you your you're yourself he she they him her them his their this that these those tu toi vous votre ton ta il elle ils elles du dich dir dein deine sie ihr er tú ti usted ustedes vosotros él ella ellos ellas".split())
 REPORTED = frozenset("said says say wrote writes told called quoted claimed reportedly allegedly dit disait écrit sagte sagt schrieb nannte dijo dice escribió llamó".split())
 THREAT = frozenset("kill hurt stab shoot destroy murder beat strangle tuer tuerai frapper töten umbringen schlagen matar mataré matarte golpear".split())
+QUOTES = frozenset("\"“”„«»")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”„«»]")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -28,7 +30,7 @@ REACH = 4  # tokens over which a negation carries
 LONGEST = 8  # letters of a word beginning in the lexicon
 
 # Weight, as a factor of the insult's own, that a pattern has before any label is seen: negated and reported insults say less, aimed ones more.
-PRIOR = {"negated": 0.75, "targeted": 1.15, "reported": 0.75}
+PRIOR = {"n": 0.75, "t": 1.15, "r": 0.75}  # by mark
 PRIOR_DOCS = 4.0
 PRIOR_ODDS = -2.2  # log-odds of a toxic document before any evidence
 THREAT_WEIGHT = 4.0
@@ -102,8 +104,45 @@ def lexicon(counts: list[tuple[str, int, int]], toxic: list[list[int]], n_toxic:
     return out
 
 
+class Transducer(NamedTuple):
+    """A finite-state machine over a tape of symbol sets. From a state, the first of `reads` at a place has a move; without one, `other` tells the next state.
+
+    A place where the machine then is in a state above 0 gets `mark`, at places that hold `only` if that is set.
+    """
+
+    mark: str
+    reads: str
+    moves: dict[tuple[int, str], int]
+    other: tuple[int, ...]
+    only: str = ""
+
+    def run(self, tape: list[str], back: bool = False) -> list[str]:
+        """The tape with marks added; back: read from its end."""
+        state, out = 0, []
+        for place in reversed(tape) if back else tape:
+            symbol = next((x for x in self.reads if x in place), "")
+            state = self.moves.get((state, symbol), self.other[state])
+            out.append(place + self.mark if state and self.mark not in place and (not self.only or self.only in place) else place)
+        return out[::-1] if back else out
+
+
+# Symbols are upper-case: I insult, T threat, Y target, N negation, R reporting verb, Q quotation mark. Marks are lower-case.
+NEGATED = Transducer("n", "N", {(s, "N"): REACH for s in range(REACH + 1)}, (0, *range(REACH)))
+SPOKEN = Transducer("r", "RQ", {(0, "R"): 2, (1, "R"): 2, (0, "Q"): 1, (1, "Q"): 0}, (0, 1, 2))
+AIMED = Transducer("t", "Y", {(0, "Y"): 1}, (0, 1))  # run from both ends: a target anywhere in the clause
+INSULTING = Transducer("i", "I", {(0, "I"): 1, (1, "I"): 1}, (0, 0))
+THREATENING = Transducer("h", "T", {(0, "T"): 1, (1, "T"): 1}, (0, 0), only="t")  # reads what AIMED wrote
+
+
+def composed(tape: list[str]) -> list[str]:
+    """The tape of one clause as the five transducers leave it, each reading what those before it wrote."""
+    for machine, back in ((NEGATED, False), (SPOKEN, False), (AIMED, False), (AIMED, True), (INSULTING, False), (THREATENING, False)):
+        tape = machine.run(tape, back)
+    return tape
+
+
 class Grammar:
-    """The composed transducers. matches(text) gives (pattern, stem, factor) of each word that a path accepts."""
+    """The composed transducers with their weights. A text is scored by its clauses, a clause by the paths that the transducers accept in it."""
 
     def __init__(self, insults: dict[str, dict[int, float]], weights: dict[str, float] | None = None, base: float = 0.05):
         self.insults, self.weights, self.base = insults, weights or {}, base
@@ -111,58 +150,58 @@ class Grammar:
         own += [re.escape(w) + r"(?![^\W\d_])" for w in sorted(THREAT)]
         self._any = re.compile(r"(?<![^\W\d_])(?:" + "|".join(own) + ")")
 
-    def lexical(self, word: str) -> tuple[str, list[str]]:
-        """First transducer: word -> symbol, and the stems that it has."""
-        stems = [word[:k] for k in range(2, min(len(word), LONGEST) + 1) if word[:k] in self.insults]
-        if word + "$" in self.insults:
-            stems.append(word + "$")
-        if stems:
-            return "I", stems
-        for symbol, words in (("T", THREAT), ("N", NEGATION), ("Y", TARGET), ("R", REPORTED)):
-            if word in words:
-                return symbol, []
-        return ("Q", []) if word in '"“”„«»' else ("O", [])
+    def stems(self, word: str) -> list[str]:
+        """The lexicon's stems that a word has."""
+        own = [word[:k] for k in range(2, min(len(word), LONGEST) + 1) if word[:k] in self.insults]
+        return [*own, word + "$"] if word + "$" in self.insults else own
+
+    def symbols(self, word: str) -> str:
+        """What a word may be, of several classes at once too."""
+        own = "I" if self.stems(word) else ""
+        for symbol, words in (("T", THREAT), ("Y", TARGET), ("N", NEGATION), ("R", REPORTED), ("Q", QUOTES)):
+            own += symbol if word in words else ""
+        return own
 
     def clause(self, words: list[str]) -> list[tuple[str, str, float]]:
-        """Transducers in sequence over one clause: (pattern, stem, factor) of every accepted word."""
-        tape = [self.lexical(w) for w in words]
-        target = any(s == "Y" for s, _ in tape)
+        """(pattern, stem, factor) of every accepted path of one clause: a path ends in an insult or, where a target is, a threat."""
         out = []
-        negated = reported = 0  # states: tokens for which a negation still holds; reported speech or quotes entered
-        quoted = False
-        for symbol, stems in tape:
-            negated = REACH if symbol == "N" else max(0, negated - 1)
-            reported |= symbol == "R"
-            quoted ^= symbol == "Q"
-            if symbol == "I" or (symbol == "T" and target):
-                marks = "".join(c for c, on in (("n", negated), ("t", target), ("r", reported or quoted)) if on)
-                factor = self.weights.get(symbol + marks, 1.0)
-                for name, c in (("negated", "n"), ("targeted", "t"), ("reported", "r")):
-                    factor *= PRIOR[name] if c in marks else 1
-                out += [(symbol + marks, s, factor) for s in stems or ["THREAT"]]
+        for word, place in zip(words, composed([self.symbols(w) for w in words]), strict=True):
+            marks = "".join(c for c in "ntr" if c in place)
+            for head, stems in (("I", self.stems(word) if "i" in place else []), ("T", ["THREAT"] if "h" in place else [])):
+                factor = self.weights.get(head + marks, 1.0) * math.prod(PRIOR[c] for c in marks)
+                out += [(head + marks, stem, factor) for stem in stems]
         return out
 
-    def matches(self, text: str) -> list[tuple[str, str, float]]:
+    def clauses(self, text: str) -> list[list[tuple[str, str, float]]]:
+        """The accepted paths of each clause that has any."""
         low = text.lower()
         if not self._any.search(low):
             return []
-        return [m for c in CLAUSE.split(low) if self._any.search(c) for m in self.clause(WORD.findall(c))]
+        found = (self.clause(WORD.findall(c)) for c in CLAUSE.split(low) if self._any.search(c))
+        return [paths for paths in found if paths]
 
     def evidence(self, text: str) -> list[tuple[float, str]]:
-        """(weight, pattern) of each stem that the text's clauses have often enough, the heaviest first."""
-        found: dict[str, list[tuple[float, str]]] = {}
-        for pattern, stem, factor in self.matches(text):
-            found.setdefault(stem, []).append((factor, pattern))
+        """(weight, heaviest path's pattern) of each clause that has weight, the heaviest first.
+
+        A path weighs what its stem does, times its pattern's factor; a stem that says something only when repeated weighs so
+        once that many paths of the text's clauses end in it. A clause weighs what its heaviest path does, and a tenth of what
+        the heaviest paths of its other stems do.
+        """
+        found = self.clauses(text)
+        times = Counter(stem for paths in found for _, stem, _ in paths)
+        weight = {stem: max((w for n, w in self.insults.get(stem, {1: THREAT_WEIGHT}).items() if n <= c), default=0.0) for stem, c in times.items()}
         out = []
-        for stem, own in found.items():
-            table = {1: THREAT_WEIGHT} if stem == "THREAT" else self.insults[stem]
-            weight = max((w for n, w in table.items() if n <= len(own)), default=0.0)
-            if weight:
-                out.append((weight * max(own)[0], max(own)[1]))
+        for paths in found:
+            best: dict[str, tuple[float, str]] = {}
+            for pattern, stem, factor in paths:
+                best[stem] = max(best.get(stem, (0.0, "")), (weight[stem] * factor, pattern))
+            first, *rest = sorted(best.values(), reverse=True)
+            if first[0]:
+                out.append((first[0] + 0.1 * sum(w for w, _ in rest), first[1]))
         return sorted(out, reverse=True)
 
     def score(self, text: str) -> float:
-        """The base rate without evidence; else the heaviest, and a tenth of the rest, as log-odds on top of PRIOR_ODDS."""
+        """The base rate without a matched clause; else the heaviest clause, and a tenth of the rest, as log-odds on top of PRIOR_ODDS."""
         found = [w for w, _ in self.evidence(text)]
         if not found:
             return self.base

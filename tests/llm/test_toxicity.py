@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -8,7 +10,64 @@ from .util import collected, documents, odd_rows
 
 
 def marks(g, text):
-    return [p for p, _, _ in g.matches(text)]
+    return [p for paths in g.clauses(text) for p, _, _ in paths]
+
+
+def plainly_scored(g, text):
+    """The score by its definition, from positions in clauses; no machine, no shared code but the grammar's numbers."""
+    clauses = [re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”„«»]", c) for c in re.split(r"[.!?;:\n|]", text.lower())]
+    paths = []
+    for at, words in enumerate(clauses):
+        targets = any(w in toxicity.TARGET for w in words)
+        for i, w in enumerate(words):
+            before = words[: i + 1]
+            marks = "n" * any(x in toxicity.NEGATION for x in before[-4:])
+            marks += "t" * targets
+            told = [j for j, x in enumerate(before) if x in toxicity.REPORTED]
+            marks += "r" * (bool(told) or sum(x in '"“”„«»' for x in before) % 2)
+            factor = {"n": 0.75, "t": 1.15, "r": 0.75}
+            for stem in g.insults:
+                if (w == stem[:-1] if stem[-1] == "$" else w.startswith(stem)):
+                    paths.append((at, "I" + marks, stem, g.weights.get("I" + marks, 1) * math.prod(factor[m] for m in marks)))
+            if w in toxicity.THREAT and targets:
+                paths.append((at, "T" + marks, None, g.weights.get("T" + marks, 1) * math.prod(factor[m] for m in marks)))
+    total = []
+    for at in {p[0] for p in paths}:
+        own = {}
+        for _, _, stem, factor in (p for p in paths if p[0] == at):
+            n = sum(p[2] == stem for p in paths)
+            table = {1: 4.0} if stem is None else g.insults[stem]
+            own[stem] = max(own.get(stem, 0), factor * max([w for k, w in table.items() if k <= n], default=0))
+        if max(own.values()):
+            total.append(0.9 * max(own.values()) + 0.1 * sum(own.values()))
+    if not total:
+        return g.base
+    return max(g.base, 1 / (1 + math.exp(2.2 - max(total) - min(2, 0.1 * (sum(total) - max(total))))))
+
+
+GRAMMAR = toxicity.Grammar({"idiot$": {1: 6.0}, "vequ": {2: 7.0, 3: 7.5}, "kil": {1: 3.2}, "no$": {2: 3.0}}, {"It": 1.1, "Inr": 0.4, "Ttr": 0.6})
+
+
+def test_scores_against_their_definition():
+    rng = random.Random(5)
+    vocabulary = ["idiot", "idiots", "vequa", "vequi", "kill", "killer", "no", "not", "you", "said", '"', "“", "a", "fine", "day", "b's"]
+    for _ in range(3000):
+        words = [rng.choice(vocabulary) + rng.choice([" "] * 6 + [". ", "\n", ", ", " | "]) for _ in range(rng.randrange(24))]
+        text = "".join(words)
+        assert math.isclose(GRAMMAR.score(text), plainly_scored(GRAMMAR, text), rel_tol=1e-9), text
+
+
+def test_query_scores_against_their_definition(spark):
+    rows = odd_rows()
+    docs = documents(spark, rows)
+    got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in collected(toxicity.scored(docs, GRAMMAR)))
+    want = sorted((str(r["doc_id"]), round(plainly_scored(GRAMMAR, r["text"] or ""), 9)) for r in docs.select("doc_id", "text").collect())
+    assert got == want
+
+
+def test_a_word_may_be_of_several_classes():
+    assert sorted(marks(GRAMMAR, "kill you")) == ["It", "Tt"] and marks(GRAMMAR, "kill time") == ["I"]
+    assert marks(GRAMMAR, "no idiot") == ["In", "In"]  # "no" is an insult here and still negates
 
 
 def test_patterns_of_clauses():
