@@ -37,7 +37,8 @@ def folded(events: DataFrame) -> DataFrame:
     """events(conv_id, seq long, op, message long, role, text) -> (conv_id, message, role, text), a row for each final message.
 
     message is the seq of the event that opened the message; of a `message` event itself it is ignored. Events count by seq,
-    those with equal seq by op and text. Unknown ops and events on messages never opened are ignored, a null text is
+    those with equal seq by op and text. Several `message` events of one seq open one message, whose text is that of the
+    last of them, by text. Unknown ops and events on messages never opened are ignored, a null text is
     empty, a null role stays null, a null conv_id is a conversation of its own. No events: no rows.
     """
     own = events.select(

@@ -32,6 +32,12 @@ def test_fold_of_streams_edits_and_regenerations(spark):
     assert rows == [(0, 1, None, ""), (1, 1, "user", "Hey!"), (1, 11, "user", "last"), (1, 2, "assistant", "Bye")]
 
 
+def test_messages_of_one_seq_are_one(spark):
+    events = [(1, 1, "message", None, "user", "b"), (1, 1, "message", None, "user", "a"), (1, 2, "delta", 1, None, "!")]
+    got = chat.folded(spark.createDataFrame(events, "conv_id long, seq long, op string, message long, role string, text string"))
+    assert [tuple(r) for r in collected(got)] == [(1, 1, "user", "b!")]
+
+
 def python_digest(rows):
     rows = sorted(rows, key=lambda r: (r[0] if r[0] is not None else -1, r[1] or "", r[2] or ""))
     said = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in rows)
