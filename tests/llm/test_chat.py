@@ -35,7 +35,7 @@ def test_fold_of_streams_edits_and_regenerations(spark):
 def test_messages_of_one_seq_are_one(spark):
     events = [(1, 1, "message", None, "user", "b"), (1, 1, "message", None, "user", "a"), (1, 2, "delta", 1, None, "!")]
     got = chat.folded(spark.createDataFrame(events, "conv_id long, seq long, op string, message long, role string, text string"))
-    assert [tuple(r) for r in collected(got)] == [(1, 1, "user", "b!")]
+    assert [(r["conv_id"], r["message"], r["role"], r["text"]) for r in collected(got)] == [(1, 1, "user", "b!")]
 
 
 def python_digest(rows):
