@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._common import mapped, written
 
@@ -72,8 +71,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Da
     return mapped(docs.select("doc_id", "text"), schema, make)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, first rank, number of ranks, first sequence, offset); rank r goes to sequence `first sequence + r - first rank`.
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Rows (length, first rank, number of sequences n, layers, first sequence, offset).
+
+    A row holds n * layers ranks: rank r is the i-th, i = r - first rank, and goes to sequence `first sequence + i % n`, at
+    `offset + i // n * length`. A group of equal gaps is left with less than half of its gap by any length that fills it, so it
+    is filled 11 times at most for 2048 tokens, and the number of rows depends on the number of lengths alone.
 
     counts: pieces of each length. Lengths over a third of the capacity are large: at most two share a sequence, each largest
     one taking the largest partner that fits. Then smaller lengths, from the largest down, go to the tightest gaps that hold
@@ -81,15 +84,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     """
     left = {n: c for n, c in counts.items() if c > 0}
     used = dict.fromkeys(left, 0)
-    rows: list[tuple[int, int, int, int, int]] = []
+    rows: list[tuple[int, int, int, int, int, int]] = []
     made = 0
     gaps: list[int] = []  # sorted sizes of gaps
     bins: dict[int, list[tuple[int, int]]] = {}  # of a gap: (first sequence, number of sequences)
 
-    def give(n: int, c: int, first: int, offset: int) -> None:
-        rows.append((n, used[n], c, first, offset))
-        used[n] += c
-        left[n] -= c
+    def give(n: int, c: int, first: int, offset: int, layers: int = 1) -> None:
+        rows.append((n, used[n], c, layers, first, offset))
+        used[n] += c * layers
+        left[n] -= c * layers
 
     def gap(size: int, first: int, c: int) -> None:
         if size and c:
@@ -132,14 +135,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
                 gaps.pop(i)
             each = size // n  # after one goes in, the rest of that gap is the tightest for the next
             full = min(c, left[n] // each)
-            for k in range(each if full else 0):
-                give(n, full, first, capacity - size + k * n)
+            if full:
+                give(n, full, first, capacity - size, each)
             gap(size - each * n, first, full)
             first, c = first + full, c - full
             if c and left[n] and left[n] < each:
                 k = left[n]
-                for j in range(k):
-                    give(n, 1, first, capacity - size + j * n)
+                give(n, 1, first, capacity - size, k)
                 gap(size - k * n, first, 1)
                 first, c = first + 1, c - 1
             gap(size, first, c)
@@ -160,18 +162,35 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     by_bucket = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("length", "bucket", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "bucket"])  # dealt by the window's keys already
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
-
-    rows = sorted(plan(counts, capacity))
-    spark = docs.sparkSession
-    names = ("p_length", "p_rank", "p_n", "p_sequence", "p_offset")
-    table = spark.createDataFrame(rows, T.StructType([T.StructField(n, T.LongType()) for n in names]))
-    hit = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_rank")) & (F.col("rank") < F.col("p_rank") + F.col("p_n"))
-    placed = ranked.join(F.broadcast(table), hit)  # a few rows for each length
-    sequence = F.col("p_sequence") + F.col("rank") - F.col("p_rank")
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), F.col("p_offset").alias("offset"))
+    return in_sequences(ranked.withColumn("rank", F.col("rank") + F.col("before")), plan(counts, capacity), counts)
+
+
+def in_sequences(ranked: DataFrame, rows: list[tuple[int, int, int, int, int, int]], counts: dict[int, int]) -> DataFrame:
+    """ranked (pieces with their rank among those of a length) -> pieces with sequence_id and offset, where they are.
+
+    The rows of the plan, in order of length and rank, cut the numbers from 0 to the number of pieces into intervals. A piece's
+    interval is found by bisection, so it costs the same however many rows a length has.
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    base = np.cumsum([0] + [counts[n] for n in lengths.tolist()])
+    table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    starts = base[np.searchsorted(lengths, table[:, 0])] + table[:, 1]
+    _, first, width, _, sequence, offset = table.T.copy()
+
+    def make():
+        def each(batch: pa.RecordBatch) -> dict:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            at = np.searchsorted(starts, base[np.searchsorted(lengths, length)] + rank, side="right") - 1
+            layer, i = np.divmod(rank - first[at], width[at])
+            out = {c: batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            return {**out, "sequence_id": pa.array(sequence[at] + i), "offset": pa.array(offset[at] + layer * length)}
+
+        return each
+
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return mapped(ranked.select(*names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", make)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -63,11 +63,11 @@ def test_sequences(spark):
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), max_size=30))
 def test_plan_places_every_rank_once(counts):
     placed, bins = defaultdict(set), defaultdict(list)
-    for length, first, n, sequence, offset in packing.plan(counts, 60):
-        for k in range(n):
+    for length, first, n, layers, sequence, offset in packing.plan(counts, 60):
+        for k in range(n * layers):
             assert first + k not in placed[length]
             placed[length].add(first + k)
-            bins[sequence + k].append((offset, length))
+            bins[sequence + k % n].append((offset + k // n * length, length))
     assert {n: len(x) for n, x in placed.items()} == counts
     for own in bins.values():
         at = 0
@@ -83,7 +83,10 @@ def test_plan_is_close_to_the_bound():
     for _ in range(20_000):
         counts[min(2048, int(rng.lognormvariate(6.3, 1)) + 1)] += 1
     total = sum(n * c for n, c in counts.items())
-    assert 1 + max(s + n - 1 for _, _, n, s, _ in packing.plan(counts, 2048)) <= 1.005 * total / 2048 + 1
+    rows = packing.plan(counts, 2048)
+    assert 1 + max(s + n - 1 for _, _, n, _, s, _ in rows) <= 1.005 * total / 2048 + 1
+    more = packing.plan({n: 100_000 * c for n, c in counts.items()}, 2048)
+    assert len(rows) < 24 * len(counts) and len(more) < 24 * len(counts)  # whatever the number of pieces
 
 
 @pytest.mark.parametrize("text", ["", "x", " leading", "tabs\t\t\n\n  end  ", "😀é́", "<|endoftext|>", "a<|endoftext|>b <|endo", "don't I'LL 12 345  6", "\x1c\x85\xa0 "])
