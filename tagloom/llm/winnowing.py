@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,25 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 2**19
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64; the base is odd, so it has one."""
+    ones = np.ones(n, np.uint64)
+    up, down = ones.copy(), ones
+    up[1:], down[1:] = _BASE, np.uint64(pow(int(_BASE), -1, 2**64))
+    return np.cumprod(up), np.cumprod(down)
+
+
+def rolled(x: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of all runs of k values, modulo 2**64: each is a difference of two sums from the start, so k doesn't matter to the work."""
+    up, down = _powers(1 << (len(x) - 1).bit_length())
+    sums = np.cumsum(x * down[: len(x)])
+    h = sums[k - 1 :].copy()
+    h[1:] -= sums[: len(x) - k]
+    h *= up[k - 1 : len(x)]
+    return h
+
+
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes and positions (code points) of the chosen k-grams. A text of fewer than `gram` code points is one gram; "" has none."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -30,10 +50,7 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     span = min(window, n)
     for at in range(0, n - span + 1, _BLOCK):
         m = min(_BLOCK + span - 1, n - at)  # hashes in this block: its windows start at its first _BLOCK places
-        h = np.zeros(m, np.uint64)
-        for i in range(k):
-            h *= _BASE
-            h += x[at + i : at + i + m]
+        h = rolled(x[at : at + m + k - 1], k)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagloom.llm import queries
-from tagloom.llm.winnowing import _beyond, as_string, edited_pairs, fingerprints, likeness, winnow, with_next
+from tagloom.llm.winnowing import _BASE, _beyond, as_string, edited_pairs, fingerprints, likeness, rolled, winnow, with_next
 
 from .util import collected, documents, odd_rows
 
@@ -33,6 +33,14 @@ def test_winnow_is_the_rightmost_least_of_each_window(text, gram, window):
     assert list(zip(h.tolist(), p.tolist(), strict=True)) == brute(text, gram, window)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 0x10FFFF), min_size=1, max_size=70), st.integers(1, 20))
+def test_rolled_hashes_are_those_of_each_run(values, k):
+    k = min(k, len(values))
+    want = [sum(v * int(_BASE) ** (k - 1 - j) for j, v in enumerate(values[i : i + k])) % 2**64 for i in range(len(values) - k + 1)]
+    assert rolled(np.array(values, np.uint64), k).tolist() == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="abcdefg ", min_size=30, max_size=60), st.text(max_size=30), st.text(max_size=30))
 def test_shared_passages_are_always_seen(shared, before, after):
