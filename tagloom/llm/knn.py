@@ -99,6 +99,18 @@ def placements(placed: DataFrame, sent: DataFrame, counts: DataFrame) -> DataFra
     return placed.join(counts, ["dim", "cell"]).select("vec_id", "v", "dim", "cell", block).join(need, ["dim", "cell", "block"])
 
 
+def pivots(once: DataFrame, n: int, m: int) -> DataFrame:
+    """(v): the m rows of n whose ids hash lowest, in a table of their own.
+
+    Collected straight from the sort, m rows of each task would go to the driver. Hashes are spread evenly, so a bound leaves few
+    more than m rows to sort; should it leave fewer, there are fewer pivots, which no result depends on.
+    """
+    own = F.xxhash64("vec_id")
+    bound = (m + 8 * math.isqrt(m) + 8 << 64) // max(n, 1) - 2**63
+    few = once.where(own <= bound) if bound < 2**63 else once
+    return written(few.orderBy(own, "vec_id").limit(m).select("v"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 4096) -> DataFrame:
     """vectors(vec_id long, v array<long>) -> (query_id, rank, vec_id, score): each query's k highest inner products, ties to the lesser vec_id.
 
@@ -110,8 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 4
     able = vectors.where("vec_id is not null and v is not null and not exists(v, x -> x is null)")
     once = written(able.groupBy("vec_id").agg(F.min("v").alias("v")))
     n = once.count()
-    some = once.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(most_pivots, math.isqrt(n)))).select("v").collect()
-    cells = Cells([r["v"] for r in some])
+    cells = Cells([r["v"] for r in pivots(once, n, max(1, min(most_pivots, math.isqrt(n)))).collect()])
 
     def placing():
         def each(batch: pa.RecordBatch) -> dict:
@@ -166,7 +177,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, most_pivots: int = 4
     rows = [(d, int(c), int(b)) for d, cs in own_cells.items() for c, b in zip(cs, blocks[d], strict=True)] or [(0, 0, 1)]
     counts = F.broadcast(placed.sparkSession.createDataFrame(rows, "dim int, cell int, blocks int"))  # a row a cell
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    queries = sent.join(asking.select(F.col("vec_id").alias("query_id"), "v"), "query_id").join(counts, ["dim", "cell"]).select("query_id", "v", "dim", "cell", "part", every)
+    # Merged: `sent` packs so well on disk that its files' size would let far too many rows be broadcast through the driver.
+    queries = sent.hint("merge").join(asking.select(F.col("vec_id").alias("query_id"), "v"), "query_id").join(counts, ["dim", "cell"]).select("query_id", "v", "dim", "cell", "part", every)
     queries = queries.toDF(*queries.columns)  # columns of its own: both sides come from the same tables
     data = placements(placed, sent, counts).toDF("dim", "cell", "block", "vec_id", "v", "part")
 

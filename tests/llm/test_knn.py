@@ -70,6 +70,38 @@ def test_data_go_where_bounds_reach(spark, monkeypatch):
     assert copies["parts"] >= 160 // 8 and copies["rows"] < len(rows) * copies["parts"] / 3
 
 
+def test_each_pivot_reaches_the_driver_once(spark, monkeypatch):
+    """Whatever the number of tasks: not as many pivots from every one of them."""
+    conf = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    before, taken, cells = {k: spark.conf.get(k) for k in conf}, [], knn.Cells
+    monkeypatch.setattr(knn, "Cells", lambda pivots: taken.append(pivots) or cells(pivots))
+    v = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(99)))
+    frame = spark.range(0, 6400, 1, 32).select(F.col("id").alias("vec_id"), v.alias("v"))
+    context = spark.sparkContext
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        context.setJobGroup("pivots", "")
+        knn.top_k(frame, F.col("vec_id") % 100 == 0)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    lowest = frame.orderBy(F.xxhash64("vec_id"), "vec_id").limit(80).collect()
+    assert sorted(taken[0]) == sorted(r["v"] for r in lowest)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    ran = [store.lastStageAttempt(s) for job in tracker.getJobIdsForGroup("pivots") for s in tracker.getJobInfo(job).stageIds]
+    assert max(s.numTasks() for s in ran) >= 32 and max(s.resultSize() for s in ran) < 400_000  # 80 pivots are 45 KB
+
+
+def test_links_of_queries_are_not_broadcast(spark):
+    """However small their files: a few bytes there may be many rows in the driver."""
+    rows = spark.createDataFrame([(i, [i, 7]) for i in range(50)], "vec_id long, v array<long>")
+    plan = knn.top_k(rows, F.col("vec_id") % 5 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [query_id#" in plan and "BroadcastHashJoin [query_id#" not in plan
+
+
 def test_parts_of_queries():
     cells = knn.Cells([[i * 10, 0] for i in range(1, 30)])
     own = knn.query_parts(cells, {(2, c): n for c, n in [(1, 10), (2, 4096), (3, 0), (4, 9000), (5, 7), (29, 1)]} | {(0, 0): 3})
