@@ -105,7 +105,7 @@ def as_batch(pages: list[tuple[int, str, tuple[list[Row], list[int]], str | None
     return pa.RecordBatch.from_arrays([columns[c] for c in _COLUMNS], names=_COLUMNS)
 
 
-def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, strict_end: bool = False, chunk: int = 20_000) -> DataFrame:
+def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, strict_end: bool = False, bare_references: bool = True, chunk: int = 20_000) -> DataFrame:
     """pages(pos long, key string, html string) -> the nodes table.
 
     A page that can't be parsed, null or over capacity, is its root row alone, with parse_error. The root's row carries the
@@ -119,7 +119,7 @@ def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MA
                 try:
                     if source is None:
                         raise ValueError("no html")
-                    page, error = parse_rows_of(source, strict_end, max_nodes, max_depth), None
+                    page, error = parse_rows_of(source, strict_end, max_nodes, max_depth, bare_references), None
                 except (CapacityError, ValueError) as e:
                     page, error = ([(ROOT, "[document]", None, 0, None, None, None, False)], [1]), str(e)
                 parsed.append((pos, key, page, error))
