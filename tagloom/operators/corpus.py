@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from itertools import groupby
 
 import xxhash
@@ -24,6 +25,7 @@ from .filter import Filter
 from .ingest import NODES, as_batch, first_by_key, first_of_each, parse_rows, without_keys
 
 Sel = Selector | str
+_PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.page.row.count.limit": "200000"}  # rows are short and alike: pages of the usual 20,000 cost half as much again to write
 SYSTEM = ["pos", "key", "checksum", "n_nodes", "parse_error"]
 META_TYPES = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType()}
 
@@ -55,14 +57,21 @@ class Corpus:
         path = _qualified(spark, path)
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         nodes = self._dealt(buckets) if self._dealt else self.nodes.repartition(buckets, "pos")
-        _point(spark, path, buckets, [self._stored(path, nodes, buckets)])
+        _point(spark, path, buckets, [self._stored(path, nodes, buckets, in_order=bool(self._dealt))])
         return Corpus.open(spark, path)
 
-    def _stored(self, path: str, nodes: DataFrame, buckets: int, like: DataFrame | None = None) -> str:
-        """Write nodes and their docs as a new segment, which nothing points to yet; like: docs whose columns the segment's must have."""
+    def _stored(self, path: str, nodes: DataFrame, buckets: int, like: DataFrame | None = None, in_order: bool = False) -> str:
+        """Write nodes and their docs as a new segment, which nothing points to yet; like: docs whose columns the segment's must have.
+
+        in_order: a task has a bucket, and each page's nodes one after the other, so they are written as they come. Sorting them would
+        spill: packed, millions of nodes are a few MB, as rows hundreds of bytes each.
+        """
         spark, segment = self.docs.sparkSession, uuid.uuid4().hex
         at = f"{path}/nodes/segment={segment}"
-        nodes.write.format("parquet").bucketBy(buckets, "pos").sortBy("pos", "idx").option("compression", "zstd").option("path", at).saveAsTable(f"tagloom_{segment}")
+        out = nodes.write.format("parquet").bucketBy(buckets, "pos")
+        out = out if in_order else out.sortBy("pos", "idx")
+        with _set(spark, {"spark.sql.maxConcurrentOutputFileWriters": "8", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"} if in_order else {}):
+            out.options(**_PACKED).option("path", at).saveAsTable(f"tagloom_{segment}")
         spark.sql(f"DROP TABLE tagloom_{segment}")  # the catalog's entry; the files stay
         docs = docs_of(spark.read.schema(NODES).parquet(at))
         meta = self._meta if self._meta is not None else self.docs.drop(*(c for c in SYSTEM if c != "pos"))
@@ -86,7 +95,7 @@ class Corpus:
         own = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"), *meta, *([F.col(order).cast("long").alias("_at")] if order else []))
         more = parse_pages(without_keys(own, self.docs, "_at" if order else None), "key", "html", meta, order="_at" if order else None, base=base)
         nodes = more._dealt(buckets)
-        segment = more._stored(path, nodes if on_error == "raise" else nodes.where("parse_error is null"), buckets, like=self.docs)  # a page that failed is one row
+        segment = more._stored(path, nodes if on_error == "raise" else nodes.where("parse_error is null"), buckets, like=self.docs, in_order=True)  # a page that failed is one row
         if on_error == "raise":
             bad = spark.read.parquet(f"{path}/docs/{segment}").where("parse_error is not null").select("key", "parse_error").first()
             if bad:
@@ -99,10 +108,14 @@ class Corpus:
 
     @staticmethod
     def compact(spark: SparkSession, path: str, buckets: int | None = None) -> Corpus:
-        """All segments rewritten as one, in so many buckets (as many as before); nothing is parsed again. The old ones stay until vacuum()."""
+        """All segments rewritten as one, in so many buckets (as many as before); nothing is parsed again. The old ones stay until vacuum().
+
+        As many buckets as before are rewritten one by one, without a shuffle or a sort.
+        """
         path = _qualified(spark, path)
-        own, buckets = Corpus.open(spark, path), buckets or _current(spark, path)[0]
-        _point(spark, path, buckets, [own._stored(path, own.nodes.repartition(buckets, "pos"), buckets)])
+        own, before = Corpus.open(spark, path), _current(spark, path)[0]
+        buckets = buckets or before
+        _point(spark, path, buckets, [own._stored(path, own.nodes.repartition(buckets, "pos"), buckets, in_order=buckets == before)])
         return Corpus.open(spark, path)
 
     @staticmethod
@@ -237,9 +250,11 @@ class Corpus:
         return rows.join(above, ["pos", "idx"], "left").withColumn("css_path", F.array_join(F.concat(names, F.array(label())), " > ")).drop("_above")
 
     def markup(self, rows: DataFrame, pretty: bool = False) -> DataFrame:
-        """(pos, key, idx, html) of each row's subtree."""
-        wanted = rows.groupBy("pos").agg(F.sort_array(F.collect_list("idx")).alias("_wanted"))
-        return self._per_page(self.nodes.join(wanted, "pos"), pretty)
+        """(pos, key, idx, html) of each row's subtree; nodes outside of these go nowhere."""
+        own = rows.select("pos", "idx").join(self.nodes.select("pos", "idx", "end_idx"), ["pos", "idx"])
+        wanted = own.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("idx", "end_idx"))).alias("_all"))
+        inside = self.nodes.join(wanted, "pos").where(F.exists("_all", lambda w: (F.col("idx") >= w["idx"]) & (F.col("idx") < w["end_idx"])))
+        return self._per_page(inside.withColumn("_wanted", F.transform("_all", lambda w: w["idx"])), pretty)
 
     def html(self, pretty: bool = False) -> DataFrame:
         """(pos, key, html) of each page."""
@@ -253,7 +268,9 @@ class Corpus:
 
             out = []
             for rows in pages_of(batches):
-                own = [as_node(r) for r in rows]
+                own = [None] * (rows[-1]["idx"] + 1)  # by idx; what no wanted subtree has is left out
+                for r in rows:
+                    own[r["idx"]] = as_node(r)
                 out += [(rows[0]["pos"], rows[0]["key"], i, write(own, i)) for i in rows[0]["_wanted"]]
                 if sum(len(x[3]) for x in out[-1:]) > 1 << 20 or len(out) >= 1000:
                     yield _batch(pa, out)
@@ -460,7 +477,7 @@ def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: It
         own = own.join(_numbered(rows.where("key is not null").select("key").distinct(), base), "key")  # bodies are dealt by key already
     nodes = parse_rows(own.repartition(spread) if spread else own, **limits)
     docs, extra = docs_of(nodes), own.select("pos", *meta)
-    return Corpus(docs.join(extra, "pos") if meta else docs, nodes, lambda n: parse_rows(own.repartition(n, "pos"), **limits), extra)
+    return Corpus(docs.join(extra, "pos") if meta else docs, nodes, lambda n: parse_rows(own.repartition(n, "pos").sortWithinPartitions("pos"), **limits), extra)
 
 
 def _numbered(keys: DataFrame, base: int) -> DataFrame:
@@ -477,6 +494,19 @@ def _numbered(keys: DataFrame, base: int) -> DataFrame:
 # -- versions on any file system Spark reads
 
 
+@contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """conf holds meanwhile."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
@@ -498,7 +528,7 @@ def _bucketed(spark: SparkSession, path: str, buckets: int, segments: list[str])
     name = f"tagloom_{xxhash.xxh3_128_hexdigest(repr((path, buckets, segments)))}"
     if not spark.catalog.tableExists(name):
         place = path.replace("\\", "\\\\").replace("'", "\\'")
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({NODES}, segment string) USING parquet PARTITIONED BY (segment) CLUSTERED BY (pos) SORTED BY (pos, idx) INTO {buckets} BUCKETS LOCATION '{place}/nodes'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({NODES}, segment string) USING parquet PARTITIONED BY (segment) CLUSTERED BY (pos) INTO {buckets} BUCKETS LOCATION '{place}/nodes'")
         for s in segments:
             spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (segment = '{s}') LOCATION '{place}/nodes/segment={s}'")
     return spark.table(name).drop("segment")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,11 @@ def as_batch(pages: list[tuple[int, str, tuple[list[Row], list[int]], str | None
         return pa.array(out, of_type)
 
     tags = pa.array(tag, pa.string())
+    coded = tags.dictionary_encode()
+    standard = pa.array([is_standard(t) for t in coded.dictionary.to_pylist()], pa.bool_()).take(coded.indices)
     own = np.nonzero(kind == ELEMENT)[0]
     above = np.array([parent[i] for i in own.tolist()], np.int64) + base[own]
-    names = tags.dictionary_encode().indices.to_numpy(zero_copy_only=False)[own].astype(np.int64)
+    names = coded.indices.to_numpy(zero_copy_only=False)[own].astype(np.int64)
 
     def places(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of elements, grouped by keys in document order: place from the start, from the end, and the order itself."""
@@ -88,7 +92,7 @@ def as_batch(pages: list[tuple[int, str, tuple[list[Row], list[int]], str | None
         "depth": pa.array(depth, pa.int32()),
         "kind": pa.array(KINDS).take(pa.array(kind)),
         "tag": tags,
-        "is_std": pa.array([is_standard(t) if k == ELEMENT else None for k, t in zip(kind.tolist(), tag, strict=True)], pa.bool_()),
+        "is_std": pc.if_else(pa.array(kind == ELEMENT), standard, pa.scalar(None, pa.bool_())),
         "id": pa.array([next((v for a, v in x if a == "id"), None) if x else None for x in attrs], pa.string()),
         "classes": _lists(classes, pa.string(), pa.array([c for x in classes if x for c in x], pa.string())),
         "attrs": _lists(attrs, _PAIR, flat),
@@ -114,21 +118,27 @@ def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed, size = [], 0
-        for batch in batches:
-            for pos, key, source in zip(*(batch.column(c).to_pylist() for c in ("pos", "key", "html")), strict=True):
-                try:
-                    if source is None:
-                        raise ValueError("no html")
-                    page, error = parse_rows_of(source, strict_end, max_nodes, max_depth, bare_references), None
-                except (CapacityError, ValueError) as e:
-                    page, error = ([(ROOT, "[document]", None, 0, None, None, None, False)], [1]), str(e)
-                parsed.append((pos, key, page, error))
-                size += len(page[0])
-                if size >= chunk:
-                    yield as_batch(parsed)
-                    parsed, size = [], 0
-        if parsed:
-            yield as_batch(parsed)
+        collects = gc.isenabled()
+        gc.disable()  # rows are many small objects without cycles
+        try:
+            for batch in batches:
+                for pos, key, source in zip(*(batch.column(c).to_pylist() for c in ("pos", "key", "html")), strict=True):
+                    try:
+                        if source is None:
+                            raise ValueError("no html")
+                        page, error = parse_rows_of(source, strict_end, max_nodes, max_depth, bare_references), None
+                    except (CapacityError, ValueError) as e:
+                        page, error = ([(ROOT, "[document]", None, 0, None, None, None, False)], [1]), str(e)
+                    parsed.append((pos, key, page, error))
+                    size += len(page[0])
+                    if size >= chunk:
+                        yield as_batch(parsed)
+                        parsed, size = [], 0
+            if parsed:
+                yield as_batch(parsed)
+        finally:
+            if collects:
+                gc.enable()
 
     return pages.select("pos", "key", "html").mapInArrow(run, NODES)
 

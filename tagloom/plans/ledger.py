@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mutate, recipes, stats
@@ -45,26 +45,41 @@ def _query(sql: str):
     return add
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ck, key, html, name, nation, half, even) of every customer."""
-    k = F.col("o_orderkey")
-    third = (k % 3).cast("int")
-    row = F.concat(
-        F.lit('<tr id="o'), k, F.lit('" class="row s-'), F.col("o_orderstatus"), F.lit('" data-p="'), F.col("o_orderpriority"), F.lit('" lang="'), F.element_at(F.array(*map(F.lit, ("en-US", "en", "de"))), third + 1),
-        F.lit('" align="'), F.element_at(F.array(*map(F.lit, ("Left", "LEFT", "right"))), third + 1), F.lit('"><td>'), k, F.lit('</td><td><b title="&lt;'), F.col("o_orderstatus"), F.lit('&gt;">'),
-        F.col("o_orderpriority"), F.lit("</b> "), F.col("o_orderstatus"), F.lit('</td><td><price-tag cents="'), k % 1000, F.lit('"></price-tag></td></tr>'),
-    )
-    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, row.alias("row")))), lambda x: x["row"]), "").alias("rows")
-    own = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(rows)
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """So many that a bucket has about half a million nodes, which a task can sort in memory: some 36 a customer and 9 an order; the session's number at least."""
+    customers, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("customer", "orders"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(36 * customers + 9 * orders) // 500_000))
+
+
+def pages(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """(ck, key, html, name, nation, half, even) of every customer, in as many parts by hash of ck as nodes take buckets, or in so many.
+
+    Orders meet their customer as figures, and become markup a page at a time. So few bytes move that Spark would otherwise put them into a few tasks.
+    """
+    parts = parts or buckets(spark, sf_dir)
+
+    def row(o: Column) -> Column:
+        k, status, priority = o["o_orderkey"], o["o_orderstatus"], o["o_orderpriority"]
+        third = (k % 3).cast("int")
+        return F.concat(
+            F.lit('<tr id="o'), k, F.lit('" class="row s-'), status, F.lit('" data-p="'), priority, F.lit('" lang="'), F.element_at(F.array(*map(F.lit, ("en-US", "en", "de"))), third + 1),
+            F.lit('" align="'), F.element_at(F.array(*map(F.lit, ("Left", "LEFT", "right"))), third + 1), F.lit('"><td>'), k, F.lit('</td><td><b title="&lt;'), status, F.lit('&gt;">'),
+            priority, F.lit("</b> "), status, F.lit('</td><td><price-tag cents="'), k % 1000, F.lit('"></price-tag></td></tr>'),
+        )
+
+    orders, customers = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    orders, customers = orders.repartition(parts, "o_custkey"), customers.repartition(parts, "c_custkey")
+    own = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+    rows = F.coalesce(F.array_join(F.transform("orders", row), ""), F.lit(""))
     ck = F.col("c_custkey")
     kind = F.when(ck % 3 == 0, "text/plain").otherwise("application/ld+json")
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>"), F.col("c_name"), F.lit("</title></head><body><header><img src=i.png"), F.when(ck % 2 == 0, " alt='x'").otherwise(""), F.lit("><h1>"), F.col("c_name"),
         F.lit('</h1></header><main id="c'), ck, F.lit('" class="customer '), F.lower("c_mktsegment"), F.lit(" "), F.lower("c_mktsegment"), F.lit("  n"), F.col("c_nationkey"), F.lit('" DATA-NATION='), F.col("c_nationkey"),
-        F.lit("><h2>Orders</h2><table><tbody>"), F.coalesce("rows", F.lit("")), F.lit("</tbody></table><h2>Notes</h2><ul><li>alpha"), ck, F.lit("<li>beta</ul><p>"), F.repeat(F.concat(F.lit("word"), ck % 7, F.lit(" ")), (ck % 40 * 10).cast("int")),
+        F.lit("><h2>Orders</h2><table><tbody>"), rows, F.lit("</tbody></table><h2>Notes</h2><ul><li>alpha"), ck, F.lit("<li>beta</ul><p>"), F.repeat(F.concat(F.lit("word"), ck % 7, F.lit(" ")), (ck % 40 * 10).cast("int")),
         F.lit('</p><svg viewBox="0 0 1 1"><path d="M'), ck, F.lit('"/><![CDATA[a<b]]></svg><!--c'), ck, F.lit('--><div/>tail</main><script type="'), kind, F.lit('">{"@type": "T'), ck % 3, F.lit('"}</script></body></html>'),
     )
-    joined = spark.read.parquet(f"{sf_dir}/customer.parquet").join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
+    joined = customers.join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.select(ck.alias("ck"), F.concat(F.lit("cust/"), ck).alias("key"), html.alias("html"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"), (ck / 2).alias("half"), (ck % 2 == 0).alias("even"))
 
 
@@ -73,8 +88,9 @@ META = ["name", "nation", "half", "even"]
 
 def written_ledger(spark: SparkSession, sf_dir: str, path: str) -> Corpus:
     """Four of five customers stored, then all appended, of which the new ones count, in two segments that are made one; the old ones are deleted."""
-    every = pages(spark, sf_dir)
-    first = parse_pages(every.where("ck % 5 <> 0"), meta=META, order="ck").write(path)
+    n = buckets(spark, sf_dir)
+    every = pages(spark, sf_dir, n)
+    first = parse_pages(every.where("ck % 5 <> 0"), meta=META, order="ck").write(path, n)
     first.append(path, every, meta=META, order="ck")
     out = Corpus.compact(spark, path)
     Corpus.vacuum(spark, path)
