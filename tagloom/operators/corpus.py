@@ -22,7 +22,7 @@ from ..plans.selector import Selector
 from ..session import written
 from .document import Document
 from .filter import Filter
-from .ingest import NODES, as_batch, first_by_key, first_of_each, parse_rows, without_keys
+from .ingest import NODES, as_batch, first_by_key, first_of_each, parse_docs, parse_rows, without_keys
 
 Sel = Selector | str
 _PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.page.row.count.limit": "200000"}  # rows are short and alike: pages of the usual 20,000 cost half as much again to write
@@ -358,10 +358,10 @@ class Corpus:
         columns = [*([F.col("_text").alias("text")] if text else []), *(F.col(f"_a{i}").alias(a) for i, a in enumerate(attrs)), *(F.col(f"_m{i}").alias(m) for i, m in enumerate(meta))]
         return _ordered(out.select("pos", "idx", "key", *columns), ordered, "pos", "idx")
 
-    def diff(self, other: Corpus) -> DataFrame:
-        """(pos, key) of other's pages that this corpus has with other content, in other's order."""
+    def diff(self, other: Corpus, ordered: bool = True) -> DataFrame:
+        """(pos, key) of other's pages that this corpus has with other content, in other's order unless that isn't asked for: the sort computes them twice."""
         mine = self.docs.select("key", F.col("checksum").alias("_was"))
-        return other.docs.join(mine, "key").where("NOT checksum <=> _was").select("pos", "key").orderBy("pos")
+        return _ordered(other.docs.join(mine, "key").where("NOT checksum <=> _was").select("pos", "key"), ordered)
 
     def snapshot_diff(self, other: Corpus, selector: Sel = "title") -> DataFrame:
         """(key, change, old, new) of pages added, removed, or with another first text of a selector."""
@@ -475,8 +475,9 @@ def parse_pages(pages: DataFrame, key: str = "key", html: str = "html", meta: It
     else:
         own = first_of_each(rows.withColumn("_h", F.xxhash64("html")), "_h").drop("_h")
         own = own.join(_numbered(rows.where("key is not null").select("key").distinct(), base), "key")  # bodies are dealt by key already
-    nodes = parse_rows(own.repartition(spread) if spread else own, **limits)
-    docs, extra = docs_of(nodes), own.select("pos", *meta)
+    bodies = own.repartition(spread) if spread else own
+    nodes = parse_rows(bodies, **limits)
+    docs, extra = parse_docs(bodies, **limits), own.select("pos", *meta)
     return Corpus(docs.join(extra, "pos") if meta else docs, nodes, lambda n: parse_rows(own.repartition(n, "pos").sortWithinPartitions("pos"), **limits), extra)
 
 

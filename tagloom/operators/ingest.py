@@ -109,6 +109,31 @@ def as_batch(pages: list[tuple[int, str, tuple[list[Row], list[int]], str | None
     return pa.RecordBatch.from_arrays([columns[c] for c in _COLUMNS], names=_COLUMNS)
 
 
+def _page(source: str | None, *limits) -> tuple[tuple[list[Row], list[int]], str | None]:
+    """The rows of a page, or its root's alone and why it can't be parsed."""
+    try:
+        if source is None:
+            raise ValueError("no html")
+        return parse_rows_of(source, *limits), None
+    except (CapacityError, ValueError) as e:
+        return ([(ROOT, "[document]", None, 0, None, None, None, False)], [1]), str(e)
+
+
+def parse_docs(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, strict_end: bool = False, bare_references: bool = True, chunk: int = 20_000) -> DataFrame:
+    """(pos, key, checksum, n_nodes, parse_error): what the roots' rows of parse_rows say, for questions that need no nodes; these aren't laid out then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = []
+            for source in batch.column("html").to_pylist():
+                (rows, _), error = _page(source, strict_end, max_nodes, max_depth, bare_references)
+                said.append((None if error else checksum(rows), len(rows), error))
+            sums, sizes, errors = zip(*said, strict=True) if said else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("key"), pa.array(sums, pa.int64()), pa.array(sizes, pa.int32()), pa.array(errors, pa.string())], names=["pos", "key", "checksum", "n_nodes", "parse_error"])
+
+    return pages.select("pos", "key", "html").mapInArrow(run, "pos long, key string, checksum long, n_nodes int, parse_error string")
+
+
 def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, strict_end: bool = False, bare_references: bool = True, chunk: int = 20_000) -> DataFrame:
     """pages(pos long, key string, html string) -> the nodes table.
 
@@ -123,12 +148,7 @@ def parse_rows(pages: DataFrame, max_nodes: int = MAX_NODES, max_depth: int = MA
         try:
             for batch in batches:
                 for pos, key, source in zip(*(batch.column(c).to_pylist() for c in ("pos", "key", "html")), strict=True):
-                    try:
-                        if source is None:
-                            raise ValueError("no html")
-                        page, error = parse_rows_of(source, strict_end, max_nodes, max_depth, bare_references), None
-                    except (CapacityError, ValueError) as e:
-                        page, error = ([(ROOT, "[document]", None, 0, None, None, None, False)], [1]), str(e)
+                    page, error = _page(source, strict_end, max_nodes, max_depth, bare_references)
                     parsed.append((pos, key, page, error))
                     size += len(page[0])
                     if size >= chunk:

@@ -16,6 +16,8 @@ from ..operators.corpus import Corpus, label, parse_pages
 from ..operators.filter import Filter
 from ..session import shared_place
 from .catalog import stored
+from .compile import is_local, local_list
+from .selector import Selector
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -107,7 +109,14 @@ def _counts(name: str, what: str, **selectors: str | tuple[str, str]) -> None:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = ledger(spark, sf_dir)
-        return reduce(DataFrame.union, (c.counted(css).select(F.lit(css).alias("selector"), "n") for css, _ in own))
+        plans = {css: Selector.of(css).alternatives for css, _ in own}
+        local = {css: F.count_if(local_list(x)) for css, x in plans.items() if is_local(x)}  # counted in one pass
+        rows = [c.counted(css).select(F.lit(css).alias("selector"), "n") for css in plans if css not in local]
+        if local:
+            counts = c.nodes.agg(*(n.alias(f"n{i}") for i, n in enumerate(local.values())))
+            each = F.explode(F.array(*(F.struct(F.lit(css).alias("selector"), F.col(f"n{i}").alias("n")) for i, css in enumerate(local))))
+            rows.append(counts.select(each.alias("x")).select("x.selector", "x.n"))
+        return reduce(DataFrame.union, rows)
 
     query.__name__, query.__doc__ = name, what
     _QUERIES[name] = query
@@ -410,7 +419,7 @@ def ledger_skipped(spark, sf_dir):
 def ledger_diff(spark, sf_dir):
     """Pages whose content isn't that of the stored corpus."""
     later = pages(spark, sf_dir).withColumn("html", F.when(F.col("ck") % 4 == 1, F.replace("html", F.lit("beta"), F.lit("gamma"))).otherwise(F.col("html")))
-    return ledger(spark, sf_dir).diff(parse_pages(later, order="ck")).select("key")
+    return ledger(spark, sf_dir).diff(parse_pages(later, order="ck"), ordered=False).select("key")
 
 
 def revised(tree: mutate.Tree) -> None:

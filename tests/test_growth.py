@@ -1,7 +1,7 @@
 """What keeps the cost of stored corpora in proportion to their pages: nodes aren't sorted or moved to be written, and only wanted ones reach Python."""
 
 from tagloom.functions.tree import build, parse_rows_of
-from tagloom.operators.corpus import Corpus, parse_pages
+from tagloom.operators.corpus import Corpus, docs_of, parse_pages
 from tagloom.plans import catalog, ledger
 
 
@@ -68,3 +68,16 @@ def test_tags_met_before_are_not_shared():
     again = build('<b title="&amp x" class="q">')[1]
     assert again.attrs == [("title", "&amp x".replace("&amp", "&"))] and again.classes == ["q"]
     assert parse_rows_of('<b title="&amp x" class="q">', bare_references=False)[0][1][4] == [("title", "&amp x")]
+
+
+def test_local_selectors_are_counted_in_one_pass(spark, sf_dir):
+    out = ledger.queries()["ledger_attributes"](spark, sf_dir)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1 and out.count() == 15
+
+
+def test_docs_are_told_without_nodes(spark):
+    c = parse_pages(pages(spark), order="at", max_nodes=6)
+    assert "end_idx" not in c.docs._jdf.queryExecution().optimizedPlan().toString()
+    c = parse_pages(pages(spark).union(spark.createDataFrame([(40, "n", None)], "at long, key string, html string")), order="at", max_nodes=8)
+    assert sorted(map(tuple, c.docs.collect()), key=str) == sorted(map(tuple, docs_of(c.nodes).collect()), key=str)
+    assert "rangepartitioning" not in c.diff(c, ordered=False)._jdf.queryExecution().executedPlan().toString()
